@@ -1,6 +1,6 @@
 """WARC records in ZIP-packaged archives: a writer, and a reader that never extracts.
 
-An archive is a ZIP file with two stored members: archive/data.warc (WARC 1.1 records) and indexes/index.jsonl (a line a
+An archive is a ZIP file with two stored members: archive/data.warc.gz (WARC 1.1 records, each a gzip member of its own) and indexes/index.jsonl (a line a
 record: place and length within the member). The reader gets the end of the file, finds the end-of-central-directory record
 (and the ZIP64 one, where a size or place is over its field), parses the central directory, reads the local header of a stored
 member for the place of its data, then reads single records by range. A compressed member, a damaged directory or a member on
@@ -17,6 +17,7 @@ result. Other columns are left out.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import json
 import struct
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import fs_of, shared_dir, table, use_repo
 
-DATA, INDEX = "archive/data.warc", "indexes/index.jsonl"
+DATA, INDEX = "archive/data.warc.gz", "indexes/index.jsonl"
 ARCHIVE_BYTES = 64 << 20
 SALTS = 16
 LIMIT32 = 0xFFFFFFFF
@@ -175,6 +176,8 @@ def record(kind: str, page_id: int | None, url: str | None, payload: bytes, dige
 
 
 def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
+    if raw[:2] == b"\x1f\x8b":
+        raw = gzip.decompress(raw)
     head, sep, rest = raw.partition(b"\r\n\r\n")
     first, *lines = head.decode().split("\r\n")
     if not sep or not first.startswith("WARC/"):
@@ -202,7 +205,7 @@ def _write(it: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch
             while pending is not None and at < ARCHIVE_BYTES:
                 page, url, html, digest, last = pending
                 revisit = last is not None and page != last
-                data = record("revisit" if revisit else "response", page, url, (html or "").encode(), digest, last if revisit else None)
+                data = gzip.compress(record("revisit" if revisit else "response", page, url, (html or "").encode(), digest, last if revisit else None), 1, mtime=0)
                 index.append((at, len(data), page))
                 at += len(data)
                 yield data
