@@ -12,7 +12,7 @@ Candidates: BANDS bands of ROWS registers. Within a bucket of a band, each membe
 with all others. Pairs are first held against the sketches: the share of equal registers, corrected for chance collisions of
 compressed values, estimates the similarity; pairs more than MARGIN below the threshold are dropped (over six standard errors). The
 rest are verified on the full sets. Then components are taken, and only buckets whose members lie in several components get further
-pairs, between members of different components. A pair at similarity 0.8 shares no bucket with a chance of about 1e-7.
+pairs, between members of different components. A pair at similarity 0.8 shares no bucket with a chance of about 2e-9.
 
 Components: repeated star contraction over verified links, as tables, written to the shared folder each round.
 
@@ -171,7 +171,7 @@ def link_components(docs: DataFrame, size: int = 5, threshold: tuple[int, int] =
     sketches = table(rep.select(F.col("rep").alias("id"), "sketch"), "reps", folder)
 
     banded = sketches.mapInArrow(_banded, "key long, id long")
-    # one shuffle: members of a bucket with its smallest id, by a window that no aggregate has to be joined to
+    # members of buckets that hold several, each with the bucket's smallest id
     leaders = banded.groupBy("key").agg(F.min("id").alias("lead"), F.count("*").alias("n")).filter("n > 1").drop("n")
     members = table(banded.join(leaders, "key"), "members", folder)
 

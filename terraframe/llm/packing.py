@@ -6,7 +6,7 @@ open windows are left over. Only their descriptions (document, start, length) tr
 theirs, best fit by falling length, so that a merge task gets at most GROUP * OPEN windows.
 
 Token ids are those of the tokenizers library with the file at tokenizer_path and add_special_tokens=False, then EOS. Its
-encoder takes about 1.5 CPU seconds a MB; so a text is split at single blanks, where this vocabulary's pattern always splits too,
+encoder takes over four times as long as tiktoken; so a text is split at single blanks, where this vocabulary's pattern always splits too,
 and each word is looked up in a bounded cache, misses being encoded by tiktoken with the same vocabulary. Texts in which a split
 isn't certain (runs of white space, white space at an end, kinds other than blanks and line ends) are encoded whole by tiktoken,
 and texts holding a special token's string by tokenizers. The tests hold both ways against tokenizers.
