@@ -1,19 +1,27 @@
-"""Toxicity: maximum-scoring segments of token log-odds.
+"""Toxicity: maximum-scoring segments of token log-odds, summed over a document.
 
-Training: documents with a label, those of the held-out fold left out. For each token, the number of toxic and of other documents
-holding it gives a log-odds ratio with an informative Dirichlet prior (the prior's counts are PRIOR documents spread as the whole
-training set is), and its z-score. Tokens beyond |z| of MIN_Z make the model, the MODEL_TOKENS with the largest |z| if there are
-more (which bounds what is sent to the workers); any other token costs DRIFT, so that a segment's expected score is negative.
+Training: documents with a label, those of the held-out fold left out. A word's pieces are its prefixes of PREFIXES letters and the
+word itself. Each piece's counts are the (document, distinct word) pairs of toxic and of other documents it covers; its share of toxic
+ones is shrunk by a Dirichlet prior of PRIOR pairs spread as its next shorter piece's share is, the shortest one's as that of all pairs
+(a piece that covers no less than its shorter one says nothing new). So a word never seen is judged by the longest prefix known, and
+rare pieces count as far as they are seen: there is no cut by significance. A piece seen once alone can't outweigh DRIFT and is left
+out; MODEL_PIECES bounds what is sent to the workers (with more, those farthest from the common share stay). A word scores its piece's
+log-odds against the common share, between 0 and CLIP, plus DRIFT, so that a segment's expected score is negative.
 
 Scoring: one linear pass over a text finds all maximal scoring segments (each run of tokens whose every prefix and suffix has a
-positive sum, none extensible). The best segment's score S is set against chance: among clean training texts of n tokens the best
-score follows an extreme-value law with scale 1/lambda and location growing as ln n. Lambda and K are fitted to the clean training
-texts' best scores (moments of S - ln(n)/lambda, in a few rounds). The evidence is E = lambda S - ln(K n): -ln of the expected
-number of such segments by chance. A segment is significant from E of ln(1/ALPHA). Score: a logistic curve over E, its two numbers
-fitted to histograms of E of both classes in training. Only counts, sums and histograms reach the driver.
+positive sum, none extensible). The document's statistic is the sum of all its segments' scores by the root of its length, and its
+score a logistic curve over that, fitted to histograms of both classes in training. Each training text is scored with its own counts
+taken out of the model, else rare words would look better than they are.
+
+Segments are set against chance one by one: among clean training texts of n tokens the best segment's score S follows an extreme-value
+law with scale 1/lambda and location growing as ln n. Lambda and K are fitted to the clean training texts' best scores (moments of
+S - ln(n)/lambda, in a few rounds). The evidence is E = lambda S - ln(K n): -ln of the expected number of such segments by chance. A
+segment is reported as significant from E of ln(1/ALPHA). Only counts, sums and histograms reach the driver.
+
+Labelled texts are found by a bitmap of hashed ids of a fixed size before the join with the labels, so the others aren't shuffled.
 
 Nulls and odd inputs: labels with a null doc_id or toxic are left out; of several labels of one document, toxic wins. Null or empty
-text, and text without tokens, has no segment; its score is the curve at E of an empty text, below one half. A null doc_id is scored
+text, and text without tokens, has no segment; its score is the curve at no evidence, below one half. A null doc_id is scored
 and not held out. Without labels of both classes every score is 0. Repeated rows are each scored; empty tables work. Other columns
 pass through; of columns named as the results are, the results' win.
 """
@@ -23,7 +31,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +42,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import LOWER, table, use_repo
 
-PRIOR, MIN_Z, MODEL_TOKENS, DRIFT, CLIP, ALPHA = 20.0, 4.0, 50_000, -0.05, 4.0, 0.01
+PRIOR, PREFIXES, MODEL_PIECES, DRIFT, CLIP, ALPHA = 20.0, (4, 6, 8), 200_000, -1.0, 4.0, 0.01
+BITS, MEMO = 1 << 25, 200_000
 FOLDS = 5
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("evidence", T.DoubleType())]))
 RESULTS = {"score": T.DoubleType(), "segments": SPANS}
@@ -82,80 +91,154 @@ def sparse_segments(hits: list[int], values: list[float], drift: float) -> list[
     return [(place[s], place[e - 1] + 1, v) for s, e, v in segments(scores)]
 
 
+def pieces(word: str) -> list[str]:
+    """From general to particular: prefixes, marked by a star, which no word holds, then the word."""
+    return [f"{word[:k]}*" for k in PREFIXES if len(word) >= k] + [word]
+
+
+def log_odds(own: list[str], counts: dict[str, tuple[int, int]], base: float, less: dict[str, int] | None = None, toxic: int = 0) -> float:
+    """Of the last of pieces of a word, against base; less: what to take from the counts of the class toxic."""
+    rate, last = base, -1
+    for p in own:
+        a, b = counts.get(p, (0, 0))
+        if not a + b or a + b == last:
+            continue
+        last = a + b
+        if less is not None:
+            a, b = a - toxic * less[p], b - (1 - toxic) * less[p]
+        rate = (a + PRIOR * rate) / (a + b + PRIOR)
+    return max(0.0, min(CLIP, math.log(rate / (1 - rate)) - math.log(base / (1 - base)))) if 0 < rate < 1 else 0.0
+
+
+def known_odds(counts: dict[str, tuple[int, int]], base: float) -> dict[str, float]:
+    """The log-odds of each piece. A piece without any, below pieces without any, is as good as unknown and left out."""
+    out = {}
+    for p in counts:
+        own = pieces(p)
+        if p.endswith("*"):
+            own = [*own[: PREFIXES.index(len(p) - 1)], p]
+        if any(odds := [log_odds(own[: i + 1], counts, base) for i in range(len(own))]):
+            out[p] = odds[-1]
+    return out
+
+
 @dataclass
 class Model:
-    odds: dict[bytes, float]
+    odds: dict[str, float]
     lam: float = 1.0
     k: float = 1.0
     slope: float = 1.0
     bias: float = -5.0
     both: bool = True
+    memo: dict[bytes, float] = field(default_factory=dict, repr=False)
+
+    def word(self, w: bytes) -> float:
+        if (v := self.memo.get(w)) is None:
+            if len(self.memo) >= MEMO:
+                self.memo.clear()
+            v = self.memo[w] = next((self.odds[p] for p in reversed(pieces(w.decode())) if p in self.odds), 0.0)
+        return v
 
     def find(self, text: str | None) -> tuple[int, list[tuple[int, int, float]]]:
-        words = tokens(text)
-        got = [*map(self.odds.get, words)]
-        hits = [i for i, v in enumerate(got) if v is not None]
-        return len(words), sparse_segments(hits, [got[i] for i in hits], DRIFT) if hits else []
+        return found([*map(self.word, tokens(text))])
 
     def evidence(self, n: int, s: float) -> float:
         return self.lam * s - math.log(self.k * max(n, 1))
 
-    def score(self, e: float) -> float:
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * e + self.bias)))) if self.both else 0.0
+    def score(self, x: float) -> float:
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * x + self.bias)))) if self.both else 0.0
+
+
+def found(odds: list[float]) -> tuple[int, list[tuple[int, int, float]]]:
+    """Number of tokens and segments of a text, given its tokens' log-odds."""
+    hits = [i for i, v in enumerate(odds) if v > 0]
+    return len(odds), sparse_segments(hits, [odds[i] + DRIFT for i in hits], DRIFT) if hits else []
+
+
+def statistic(n: int, spans: list[tuple[int, int, float]]) -> float:
+    """Of all segments of a text of n tokens."""
+    return sum(v for *_, v in spans) / math.sqrt(n + 10)
 
 
 def _count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents a token, by class: partial sums of a bounded number of tokens at a time. The empty token counts documents."""
-    schema = pa.schema([("token", pa.binary()), ("toxic", pa.int64()), ("other", pa.int64())])
+    """Documents a token, by class: partial sums of a bounded number of tokens at a time."""
+    schema = pa.schema([("token", pa.string()), ("toxic", pa.int64()), ("other", pa.int64())])
     counts = (Counter(), Counter())
 
     def flush():
         every = list(counts[0].keys() | counts[1].keys())
-        out = pa.RecordBatch.from_arrays([pa.array(every, pa.binary()), pa.array([counts[1][w] for w in every], pa.int64()), pa.array([counts[0][w] for w in every], pa.int64())], schema=schema)
+        out = pa.RecordBatch.from_arrays([pa.array(every, pa.binary()).cast(pa.string()), pa.array([counts[1][w] for w in every], pa.int64()), pa.array([counts[0][w] for w in every], pa.int64())], schema=schema)
         counts[0].clear(), counts[1].clear()
         return out
 
     for b in it:
         for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            counts[toxic].update({*tokens(text), b""})
+            counts[toxic].update({*tokens(text)})
             if len(counts[0]) + len(counts[1]) > 500_000:
                 yield flush()
     yield flush()
 
 
+def maybe_among(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs without most of those whose doc_id isn't in ids: a hash of BITS values, a bitmap of those that ids have."""
+    slot = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(BITS)) + 1
+    number, position = F.bitmap_bucket_number(slot), F.bitmap_bit_position(slot)
+    marks = ids.groupBy(number.alias("__number")).agg(F.bitmap_construct_agg(position).alias("__marks"))
+    byte = F.conv(F.hex(F.substring("__marks", (F.col("__position") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    kept = docs.select("doc_id", "text", number.alias("__number"), position.alias("__position")).join(F.broadcast(marks), "__number")
+    return kept.filter(byte.bitwiseAND(F.expr("shiftleft(1, cast(__position % 8 as int))")) != 0).select("doc_id", "text")
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, folds: int = FOLDS) -> DataFrame:
     """text and toxic (0 or 1) of the labelled documents outside of the held-out fold."""
     own = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic is not null")
-    own = own.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return docs.select("doc_id", "text").join(own, "doc_id").select("text", F.when(F.col("toxic") > 0, 1).otherwise(0).alias("toxic"))
+    own = own.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds != 0)
+    kept = maybe_among(docs, own)
+    own = own.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    # one plan at any size
+    return kept.join(own.hint("merge"), "doc_id").select("text", F.when(F.col("toxic") > 0, 1).otherwise(0).alias("toxic"))
 
 
 def train(docs: DataFrame, labels: DataFrame, folds: int = FOLDS) -> Model:
     spark = docs.sparkSession
     use_repo(spark)
     rows = table(training_rows(docs, labels, folds), "train")
-    counts = rows.mapInArrow(_count, "token binary, toxic long, other long").groupBy("token").agg(F.sum("toxic").alias("a"), F.sum("other").alias("b"))
-    counts = table(counts.filter(F.col("a") + F.col("b") >= 5), "counts")
-    total = counts.filter(F.length("token") == 0).collect()
+    every = [F.when(F.length("token") >= k, F.concat(F.substring("token", 1, k), F.lit("*"))) for k in PREFIXES]
+    # the empty piece counts all pairs
+    counts = rows.mapInArrow(_count, "token string, toxic long, other long").select(F.explode(F.array(*every, F.col("token"), F.lit(""))).alias("piece"), "toxic", "other").filter("piece is not null")
+    counts = counts.groupBy("piece").agg(F.sum("toxic").alias("a"), F.sum("other").alias("b"))
+    counts = table(counts.filter("a + b >= 2"), "counts")
+    total = counts.filter("piece = ''").collect()
     if not total or not total[0].a or not total[0].b:
         return Model({}, both=False)
-    na, nb = total[0].a, total[0].b
-    p = (F.col("a") + F.col("b")) / F.lit(float(na + nb))
-    a, b = F.col("a") + PRIOR * p, F.col("b") + PRIOR * p
-    odds = F.log(a / (na + PRIOR - a + 1e-9)) - F.log(b / (nb + PRIOR - b + 1e-9))
-    scored = counts.filter(F.length("token") > 0).select("token", odds.alias("odds"), (odds / F.sqrt(1 / a + 1 / b)).alias("z"))
-    best = scored.filter(F.abs("z") >= MIN_Z).orderBy(F.desc(F.abs("z")), "token").limit(MODEL_TOKENS).collect()
-    # a token of other texts costs no more than a few of drift: a clean passage around a toxic one doesn't hide it
-    model = Model({bytes(r.token): max(4 * DRIFT, min(CLIP, r.odds)) for r in best})
-    shared = spark.sparkContext.broadcast(model)
+    base = total[0].a / (total[0].a + total[0].b)
+    far = F.abs(F.col("a") - (F.col("a") + F.col("b")) * base) / F.sqrt(F.col("a") + F.col("b") + PRIOR)
+    # cut by a histogram, so that the driver never gets more than the model
+    ranked = counts.filter("piece <> ''").withColumn("rank", F.round(F.log(far + 1e-3) * 50))
+    least, room = None, MODEL_PIECES
+    for r in ranked.groupBy("rank").count().orderBy(F.desc("rank")).collect():
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r["rank"]
+    best = ranked.filter(F.col("rank") >= F.lit(least)).collect()
+    known = {r.piece: (r.a, r.b) for r in best}
+    held = spark.sparkContext.broadcast(known)
 
     def tops(it):
-        m = shared.value
+        known = held.value
         for b in it:
-            found = [m.find(t) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in found], pa.int64()), pa.array([max((v for *_, v in s), default=0.0) for _, s in found], pa.float64()), b.column(1).cast(pa.int32())], names=["n", "s", "toxic"])
-
-    best_of = table(rows.mapInArrow(tops, "n long, s double, toxic int"), "tops")
+            out = []
+            for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                words = tokens(text)
+                own = {w: pieces(w.decode()) for w in {*words}}
+                less = Counter(p for ps in own.values() for p in ps)
+                odds = {w: log_odds(ps, known, base, less, toxic) for w, ps in own.items()}
+                n, spans = found([odds[w] for w in words])
+                out.append((n, max((v for *_, v in spans), default=0.0), statistic(n, spans)))
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.float64()), pa.array([x[2] for x in out], pa.float64()), b.column(1).cast(pa.int32())], names=["n", "s", "x", "toxic"])
+
+    best_of = table(rows.mapInArrow(tops, "n long, s double, x double, toxic int"), "tops")
     lam = 1.0
     for _ in range(8):  # scale and place of an extreme-value law, by moments, of clean texts
         g = F.col("s") - F.log(F.greatest("n", F.lit(1))) / lam
@@ -164,13 +247,13 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = FOLDS) -> Model:
         if abs(new - lam) < 1e-3 * lam:
             break
         lam = new
-    model.lam, model.k = lam, math.exp(lam * (m or 0.0) - 0.5772156649)
-    e = lam * F.col("s") - F.log(F.lit(model.k) * F.greatest("n", F.lit(1)))
-    bins = best_of.groupBy(F.round(F.greatest(F.lit(-50.0), F.least(F.lit(100.0), e)) * 4).alias("bin"), "toxic").count().collect()
-    x = np.array([r["bin"] / 4 for r in bins])
+    model = Model(known_odds(known, base), lam, math.exp(lam * (m or 0.0) - 0.5772156649))
+    bins = best_of.groupBy(F.round(F.least(F.lit(40.0), F.col("x")) * 50).alias("bin"), "toxic").count().collect()
+    x = np.array([r["bin"] / 50 for r in bins])
     y = np.array([float(r["toxic"]) for r in bins])
     w = np.array([float(r["count"]) for r in bins])
     model.slope, model.bias = logistic(x, y, w)
+    held.unpersist()
     return model
 
 
@@ -203,9 +286,9 @@ def score_toxicity(docs: DataFrame, model: Model, with_segments: bool = True) ->
         for b in it:
             scores, spans = [], []
             for t in b.column("text").to_pylist():
-                n, found = m.find(t)
-                scores.append(m.score(m.evidence(n, max((v for *_, v in found), default=0.0))))
-                spans.append([{"start": s, "end": e, "evidence": ev} for s, e, v in found if (ev := m.evidence(n, v)) >= least] if with_segments else [])
+                n, every = m.find(t)
+                scores.append(m.score(statistic(n, every)))
+                spans.append([{"start": s, "end": e, "evidence": ev} for s, e, v in every if (ev := m.evidence(n, v)) >= least] if with_segments else [])
             new = {"score": scores, "segments": spans}
             yield pa.RecordBatch.from_arrays([pa.array(new[f.name], f.type) if f.name in new else b.column(f.name).cast(f.type) for f in arrow], schema=arrow)
 

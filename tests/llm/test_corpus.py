@@ -395,6 +395,31 @@ def test_toxicity_held_out(spark, odd, none):
     assert score_toxicity(odd, model).filter("score <> 0").count() == 0 and score_toxicity(none, model).count() == 0
 
 
+def test_toxicity_recall_by_language(spark):
+    sf = f"{DATA}/sf0.1"
+    d, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    got = queries.op4_toxicity(spark, sf).filter("held_out").join(labels, "doc_id").join(d.select("doc_id", "lang"), "doc_id").toPandas()
+    recall = got[got.toxic == 1].groupby("lang").predicted.agg(["mean", "sum", "count"])
+    clean = got[got.toxic == 0].predicted
+    rank, pos = got.score.rank(), got.toxic == 1
+    print(recall, "wrong", clean.sum(), "of", len(clean), "AUC", (rank[pos].sum() - pos.sum() * (pos.sum() + 1) / 2) / (pos.sum() * (~pos).sum()), "accuracy", (got.predicted == got.toxic).mean())
+    assert recall["mean"].min() > 0.6 and clean.mean() < 0.02
+
+
+def test_toxicity_sums_segments_and_backs_off(spark):
+    from terraframe.llm.toxicity import score_toxicity, train
+
+    r = random.Random(1)
+    prose = lambda n: " ".join(r.choice(WORDS) + str(r.randrange(60)) for _ in range(n))
+    vile = lambda: f"{prose(30)} grumpf{r.randrange(10**6)} {prose(30)}"  # noqa: E731  (no whole word twice)
+    rows = [(i, " ".join(vile() for _ in range(4)) if i % 5 == 0 else prose(250), int(i % 5 == 0)) for i in range(400)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = train(d.select("doc_id", "text"), d.select("doc_id", "toxic"))
+    asked = [(1, f"{prose(120)} grumpfa {prose(120)}"), (2, f"{prose(60)} grumpfb {prose(60)} grumpfc {prose(60)} grumpfd {prose(60)}"), (3, prose(240))]
+    got = {x.doc_id: x.score for x in score_toxicity(spark.createDataFrame(asked, "doc_id long, text string"), model).collect()}
+    assert got[3] < got[1] < got[2] and got[2] > 0.5 > got[3]
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as P
 
