@@ -89,8 +89,9 @@ def write_stream(objects: DataFrame, out, fmt: str, bounds: Iterable[tuple] = ()
 
 
 def convert(spark: SparkSession, source: str, target: str, sort: bool = False, source_format: str | None = None, target_format: str | None = None) -> None:
+    """All objects and all bounds, in order; a PBF header has room for the first bounds only."""
     objects = read_osm(spark, source, fmt=source_format)
-    found = read_osm(spark, source, "bounds", source_format).orderBy("seq").limit(1000).collect()
+    found = read_osm(spark, source, "bounds", source_format).orderBy("seq").collect()
     if target_format == "null":
         objects.write.format("noop").mode("overwrite").save()
     else:

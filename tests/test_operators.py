@@ -54,6 +54,14 @@ def test_cli(spark, tmp_path):
     assert [r.id for r in tio.read_osm(spark, b).orderBy("seq").collect()] == [1, 3, 3, 2, 7]
 
 
+def test_convert_keeps_all_bounds(spark, tmp_path):
+    a, b = str(tmp_path / "a.osm"), str(tmp_path / "b.o5m")
+    tio.write_osm(objects(spark, ROWS), a, [(0.0, 1.0, 2.0, i / 100) for i in range(1500)])
+    tio.convert(spark, a, b)
+    found = tio.read_osm(spark, b, "bounds")
+    assert found.count() == 1500 and C.find_bbox(found).first().y2 == pytest.approx(14.99)
+
+
 def test_dedup_and_empty(spark):
     o = objects(spark, ROWS)
     got = C.dedup_first(o).filter("type = 'node' and id = 3").collect()
