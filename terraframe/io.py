@@ -12,9 +12,9 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 
 from .operators.core import enforce_limits, output_rank, type_rank
-from .schema import OBJECT
+from .schema import CHANGE, OBJECT
 from .sources import o5m, pbf, xml
-from .sources.formats import _plain, register
+from .sources.formats import _plain, change_rows, register
 
 FORMATS = {".o5m": "o5m", ".osm": "osm_xml", ".pbf": "osm_pbf"}
 
@@ -37,7 +37,10 @@ def read_change(spark: SparkSession, path: str, table: str = "objects", **option
 
 
 def from_bytes(spark: SparkSession, data: bytes, fmt: str, limits: dict | None = None) -> DataFrame:
-    """Objects of a document in memory."""
+    """Objects of a document in memory; of a change document (osm_change), with the columns of its blocks."""
+    if fmt == "osm_change":
+        rows = [r for kind, r in change_rows(xml.decode([data], True, limits)) if kind == "object"]
+        return spark.createDataFrame([tuple(_plain(f, r.get(f)) for f in CHANGE.names) for r in rows], CHANGE)
     events = {"o5m": lambda: o5m.decode(data), "osm_pbf": lambda: pbf.decode(data), "osm_xml": lambda: xml.decode([data], limits=limits)}[fmt]()
     rows = [v[0] | {"seq": i} for i, (k, *v) in enumerate(events, 1) if k == "object"]
     return spark.createDataFrame([tuple(_plain(f, r.get(f)) for f in OBJECT.names) for r in rows], OBJECT)

@@ -131,21 +131,25 @@ class XmlReader(_Reader):
         yield from xml.decode(_chunks(piece.path), self.change, self.limits(), self.options.get("mode", "").upper() == "PERMISSIVE")
 
 
+def change_rows(events: Iterator[tuple], first_only: bool = False) -> Iterator[tuple[str, dict]]:
+    """("block", row) and ("object", row) of the events of a change file."""
+    block, pos, own = -1, 0, {}
+    for kind, *value in events:
+        if kind == "open":
+            block, pos = block + 1, 0
+            own = {"block_no": block, "action": value[0], "if_unused": value[1], "is_diff": block == 0 or not first_only}
+            yield "block", own
+        elif kind == "object":
+            yield "object", value[0] | own | {"pos": pos}
+            pos += 1
+
+
 class ChangeReader(XmlReader):
     change = True
 
     def read(self, partition: Piece) -> Iterator[tuple]:
-        block, pos, action, unused = -1, 0, "", False
-        first_only = self.options.get("compat") == "reference"
-        for kind, *value in self.events(partition):
-            if kind == "open":
-                action, unused = value
-                block, pos = block + 1, 0
-                if self.what == "blocks":
-                    yield tuple({"block_no": block, "action": action, "if_unused": unused, "is_diff": block == 0 or not first_only}[f] for f in self.fields)
-            elif kind == "object" and self.what == "objects":
-                row = value[0] | {"block_no": block, "action": action, "if_unused": unused, "is_diff": block == 0 or not first_only, "pos": pos}
-                pos += 1
+        for kind, row in change_rows(self.events(partition), self.options.get("compat") == "reference"):
+            if f"{kind}s" == self.what:
                 yield tuple(_plain(f, row.get(f)) for f in self.fields)
 
 

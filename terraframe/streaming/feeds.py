@@ -7,31 +7,36 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.core import action
-from ..schema import OBJECT
+from ..schema import CHANGE, OBJECT
 from ..sources import o5m, pbf, xml
-from ..sources.formats import _plain, register
+from ..sources.formats import _plain, change_rows, register
 
 
-def _decode(name: str, data: bytes):
-    if name.endswith(".o5m"):
-        return o5m.decode(data)
-    return pbf.decode(data) if name.endswith(".pbf") else xml.decode([data])
+def _decode(name: str, data: bytes) -> list[dict]:
+    """Objects by the suffix of a file's name; those of a change file with the columns of its blocks."""
+    if name.endswith(".osc"):
+        return [r | {"seq": i} for i, r in enumerate((r for kind, r in change_rows(xml.decode([data], True)) if kind == "object"), 1)]
+    for suffix, events in {".o5m": lambda: o5m.decode(data), ".pbf": lambda: pbf.decode(data), ".osm": lambda: xml.decode([data])}.items():
+        if name.endswith(suffix):
+            return [v[0] | {"seq": i} for i, (k, *v) in enumerate(events(), 1) if k == "object"]
+    raise ValueError(f"no format is known for {name!r}")
 
 
 def read_arriving(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """Objects of files as they arrive in a folder, with arrived, the file's time."""
+    """Objects of files (.o5m, .osm, .pbf, .osc) as they arrive in a folder, with arrived, the file's time, and block_no, action,
+    if_unused, is_diff and pos, which are null but for objects of change files. A file with another suffix is an error."""
     register(spark)
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", pattern).load(folder)
-    schema = T.StructType([T.StructField("arrived", T.TimestampType()), *OBJECT.fields])
+    schema = T.StructType([T.StructField("arrived", T.TimestampType()), *OBJECT.fields, *CHANGE.fields[:5]])
 
     def rows(it):
         import pandas as pd
 
         for pdf in it:
             for path, when, data in zip(pdf["path"], pdf["modificationTime"], pdf["content"]):
-                objects = [v[0] | {"seq": i} for i, (k, *v) in enumerate(_decode(path, bytes(data)), 1) if k == "object"]
+                objects = _decode(path, bytes(data))
                 if objects:
-                    yield pd.DataFrame([(when, *[_value(f, o.get(f)) for f in OBJECT.names]) for o in objects], columns=schema.names)
+                    yield pd.DataFrame([(when, *[_value(f, o.get(f)) for f in schema.names[1:]]) for o in objects], columns=schema.names, dtype=object)
 
     return files.select("path", "modificationTime", "content").mapInPandas(rows, schema)
 
@@ -48,5 +53,6 @@ def dedup_stream(objects: DataFrame, watermark: str | None = None, time: str = "
 
 
 def change_counts(edits: DataFrame, time: str, window: str = "1 hour", watermark: str = "1 hour") -> DataFrame:
-    """Edits by action in tumbling windows."""
-    return edits.withWatermark(time, watermark).groupBy(F.window(time, window), action().alias("action")).agg(F.count("*").alias("n"))
+    """Edits by action in tumbling windows: the action that a change file states, or else the one that version and visible tell."""
+    told = F.coalesce("action", action()) if "action" in edits.columns else action()
+    return edits.withWatermark(time, watermark).groupBy(F.window(time, window), told.alias("action")).agg(F.count("*").alias("n"))

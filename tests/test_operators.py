@@ -96,3 +96,27 @@ def test_stream(spark, tmp_path):
     q = dedup_stream(read_arriving(spark, str(tmp_path / "in"), "*.osm")).writeStream.format("memory").queryName("got").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.table("got").count() == 4
+
+
+OSC = b"""<osmChange version="0.6"><create><node id="1" version="1" lat="1" lon="2"/><way id="4" version="2"><nd ref="1"/></way></create><delete if-unused="true"><node id="9" version="3"/></delete></osmChange>"""
+
+
+def test_change_documents_in_memory_and_arriving(spark, tmp_path):
+    from terraframe.streaming.feeds import _decode, change_counts, read_arriving
+
+    want = [(0, "create", False, 0, "node", 1), (0, "create", False, 1, "way", 4), (1, "delete", True, 0, "node", 9)]
+    columns = ("block_no", "action", "if_unused", "pos", "type", "id")
+    assert [tuple(r) for r in tio.from_bytes(spark, OSC, "osm_change").select(*columns).collect()] == want
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.osc").write_bytes(OSC)
+    tio.write_osm(objects(spark, ROWS), str(tmp_path / "in" / "b.osm"))
+    got = read_arriving(spark, str(tmp_path / "in"))
+    for name, d, mode in (("rows", got, "append"), ("counts", change_counts(got, "arrived"), "complete")):
+        q = d.writeStream.format("memory").outputMode(mode).queryName(name).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+    rows = spark.table("rows")
+    assert [tuple(r) for r in rows.filter("action is not null").orderBy("seq").select(*columns).collect()] == want
+    assert rows.filter("action is null").count() == len(ROWS)
+    assert {r.action: r.n for r in spark.table("counts").groupBy("action").sum("n").toDF("action", "n").collect()} == {"create": 2 + len(ROWS), "delete": 1}
+    with pytest.raises(ValueError, match="no format"):
+        _decode("file:/x.xml", b"")
