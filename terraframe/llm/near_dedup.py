@@ -1,7 +1,8 @@
 """MinHash near-dedup by HyperMinHash.
 
-Classes: documents with equal shingle sets (by a 128-bit digest of the sorted set) are one class; its smallest doc_id stands for it
-from here on. So thousands of copies are one row, and no pairs within them arise.
+Classes: documents with equal shingle sets (by a 128-bit digest of the sorted set) are one class, which its smallest doc_id stands for
+from here on; where a doc_id stands in several rows, a number of the class does instead, and components are named by their smallest
+doc_id at the end. So thousands of copies are one row, and no pairs within them arise.
 
 Sketches: REGISTERS buckets; a shingle's hash gives a bucket and a value, and the bucket keeps the smallest value, stored as the
 number of its leading zeros (6 bits) and the MANTISSA bits after them. Buckets that stay empty are filled in further rounds with
@@ -21,7 +22,8 @@ only for documents in pairs left to verify.
 
 Nulls and odd inputs: null or empty text and text without words has an empty set and is linked with nothing. With fewer words than a
 shingle takes, the whole sequence is one shingle. A null doc_id is never linked and is its own class (component_id null, kept true).
-Rows with one doc_id and equal text fall into one class and all carry kept by the same rule. Empty tables work. Other columns pass
+Rows with one doc_id and equal text fall into one class and all carry kept by the same rule; with different texts, each row is judged
+by its own text, and rows of one doc_id aren't linked for that. Empty tables work. Other columns pass
 through in near_dedup; of columns named as the results are, the results' win.
 """
 
@@ -157,8 +159,8 @@ def _components(links: DataFrame, folder: str, name: str) -> DataFrame:
     return new.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "id")
 
 
-def link_components(docs: DataFrame, size: int = 5, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept, of every row of docs (doc_id, text)."""
+def _linked(docs: DataFrame, size: int, threshold: tuple[int, int]) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept and the digest (hi, lo) of the shingles, of every row of docs (doc_id, text)."""
     spark = docs.sparkSession
     use_repo(spark)
     folder = shared_dir(spark)
@@ -167,8 +169,11 @@ def link_components(docs: DataFrame, size: int = 5, threshold: tuple[int, int] =
     rows = table(source.mapInArrow(lambda it: _classify(it, size), "doc_id long, n_shingles long, hi long, lo long, sketch binary"), "sketches", folder)
     live = rows.filter("n_shingles > 0 and doc_id is not null")
     classes = live.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"))
-    rep = live.join(classes, ["hi", "lo"]).filter("doc_id = rep").dropDuplicates(["rep"])
-    sketches = table(rep.select(F.col("rep").alias("id"), "sketch"), "reps", folder)
+    # does a doc_id stand in several rows? then it doesn't tell classes apart
+    repeated = rows.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count() > 0
+    classes = table(classes.withColumn("id", F.monotonically_increasing_id()), "classes", folder) if repeated else classes.withColumn("id", F.col("rep"))
+    rep = live.join(classes, ["hi", "lo"]).filter("doc_id = rep").dropDuplicates(["id"])
+    sketches = table(rep.select("id", "sketch"), "reps", folder)
 
     banded = sketches.mapInArrow(_banded, "key long, id long")
     # members of buckets that hold several, each with the bucket's smallest id
@@ -181,15 +186,18 @@ def link_components(docs: DataFrame, size: int = 5, threshold: tuple[int, int] =
         return table(near.mapInArrow(lambda it: _likely(it, num / den - MARGIN), "a long, b long, estimate double"), name, folder)
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
-        asked = table(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct(), f"{name}-asked", folder)
-        held = source.join(asked, "doc_id", "left_semi").dropDuplicates(["doc_id"]) if repeated else source.join(asked, "doc_id", "left_semi")
-        held = table(held, f"{name}-texts", folder)
-        a, b = (held.select(F.col("doc_id").alias(x), F.col("text").alias(f"t{x}")) for x in "ab")
+        asked = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+        if repeated:  # a class's text is any with its digest
+            asked = table(asked.join(classes, "id").select("id", F.col("rep").alias("doc_id"), "hi", "lo"), f"{name}-asked", folder)
+            held = _digested(source.join(asked.select("doc_id").distinct(), "doc_id"), size).join(asked, ["doc_id", "hi", "lo"]).dropDuplicates(["id"])
+        else:
+            asked = table(asked.withColumnRenamed("id", "doc_id"), f"{name}-asked", folder)
+            held = source.join(asked, "doc_id", "left_semi").withColumnRenamed("doc_id", "id")
+        held = table(held.select("id", "text"), f"{name}-texts", folder)
+        a, b = (held.select(F.col("id").alias(x), F.col("text").alias(f"t{x}")) for x in "ab")
         both = pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "ta", "tb")
         return table(both.mapInArrow(lambda it: _verify(it, size, num, den), "a long, b long"), name, folder)
 
-    # does a doc_id stand in several rows? then a class's text is that of the row that made its sketch
-    repeated = rows.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count() > 0
     pairs = likely(members.filter("id <> lead").select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct(), "likely1")
     # one link a member is enough to begin with: the likeliest; others only where components still differ
     best = pairs.groupBy("a").agg(F.max_by("b", F.struct("estimate", -F.col("b"))).alias("b"))
@@ -203,16 +211,47 @@ def link_components(docs: DataFrame, size: int = 5, threshold: tuple[int, int] =
     more = likely(cross, "likely2")
     links = links.unionByName(verified(more.join(best, ["a", "b"], "left_anti"), "links2"))
     part = table(_components(links, folder, "cc2-"), "part2", folder)
-    found = live.join(classes, ["hi", "lo"]).select("doc_id", "n_shingles", "rep").join(part, F.col("rep") == F.col("id"), "left")
-    found = found.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
-    rest = rows.filter("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    if repeated:  # components are named by numbers of classes; each takes the smallest doc_id of its classes
+        of = part.select("id", "component").union(part.select("component", "component").distinct())
+        of = of.join(classes.select("id", "rep"), "id")
+        least = of.groupBy("component").agg(F.min("rep").alias("least"))
+        part = of.join(least, "component").select("id", F.col("least").alias("component"))
+    found = live.join(classes, ["hi", "lo"]).join(part, "id", "left")
+    found = found.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"), "hi", "lo")
+    rest = rows.filter("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "hi", "lo")
     every = found.unionByName(rest)
     return every.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def _digested(docs: DataFrame, size: int) -> DataFrame:
+    """doc_id, text and the digest (hi, lo) of the text's shingles."""
+
+    def run(it):
+        hashes = WordHash()
+        for b in it:
+            h = np.frombuffer(b"".join(xxhash.xxh3_128_digest(shingles(t, size, hashes).tobytes()) for t in b.column(1).to_pylist()), ">i8").astype(np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(1).cast(pa.string()), pa.array(h[:, 0]), pa.array(h[:, 1])], names=["doc_id", "text", "hi", "lo"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, text string, hi long, lo long")
+
+
+def link_components(docs: DataFrame, size: int = 5, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept, of every row of docs (doc_id, text)."""
+    return _linked(docs, size, threshold).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def near_dedup(docs: DataFrame, size: int = 5, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """docs without the documents that a smaller doc_id's component covers; all columns of docs stay as they are. Of rows with the
     kept doc_id, all stay."""
-    found = link_components(docs, size, threshold)
-    gone = table(found.filter("not kept").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    found = table(_linked(docs, size, threshold).filter("doc_id is not null").groupBy("doc_id", "hi", "lo").agg(F.min("kept").alias("kept")), "found")
+    fates = table(found.groupBy("doc_id").agg(F.min("kept").alias("all"), F.max("kept").alias("any")).filter("not all").select(F.col("doc_id").alias("__gone"), "any"), "gone")
+    gone = fates.filter("not any").drop("any")
+    left = docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    mixed = fates.filter("any").drop("any")
+    if not mixed.limit(1).count():
+        return left
+    # of some rows of these only the text goes
+    own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").join(mixed, F.col("doc_id") == F.col("__gone"), "left_semi").distinct()
+    texts = _digested(own, size).join(found.filter("not kept"), ["doc_id", "hi", "lo"]).select(F.col("doc_id").alias("__gone"), F.col("text").alias("__text"))
+    texts = table(texts, "gone-texts")
+    return left.join(texts, (left["doc_id"] == texts["__gone"]) & (left["text"] == texts["__text"]), "left_anti")

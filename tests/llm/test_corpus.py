@@ -187,6 +187,22 @@ def test_near_dedup_odd(odd, none):
     assert near_dedup(odd).columns == odd.columns and near_dedup(none).count() == 0
 
 
+def test_near_dedup_texts_under_one_id(spark):
+    from terraframe.llm.near_dedup import link_components, near_dedup
+
+    r = random.Random(4)
+    text = lambda: [r.choice(WORDS) + str(r.randrange(99)) for _ in range(120)]
+    rows = []
+    for k in range(8):  # eight texts under one id, each with a near copy of its own, and an older copy of the first
+        own = text()
+        rows += [(5, " ".join(own)), (100 + k, " ".join([*own[:-2], "x", "y"]))]
+    rows += [(2, rows[0][1] + " z"), (5, rows[0][1])]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = collections.Counter((x.doc_id, x.component_id, x.kept) for x in link_components(d).collect())
+    assert got == {(5, 5, True): 7, (5, 2, False): 2, (2, 2, True): 1, (100, 2, False): 1} | {(100 + k, 5, False): 1 for k in range(1, 8)}
+    assert sorted((x.doc_id, x.text) for x in near_dedup(d).collect()) == sorted([rows[-2], *rows[2:16:2]])
+
+
 def test_sketch_estimates():
     from terraframe.llm.near_dedup import estimate, sketch
 
