@@ -9,7 +9,7 @@ The benchmark goes to the workers as a broadcast only up to BLOCK_BYTES of windo
 size, each scanned in turn and the findings joined. Memory of a worker: about 60 bytes a byte of windows.
 
 Nulls and odd inputs: a null text or item has no words; an item without words is never found. Items with one item_id count
-as one item; a null item_id isn't reported. Rows with one doc_id are each judged for themselves. Empty tables work. Other
+as one item; windows of items with a null item_id count as hits, but aren't reported in items. Rows with one doc_id are each judged for themselves. Empty tables work. Other
 columns pass through; of columns named as the results are, the results' win.
 """
 
@@ -48,8 +48,6 @@ def blocks(benchmark: DataFrame, size: int) -> Iterator[dict[str, list[str]]]:
     block: dict[str, list[str]] = {}
     room = 0
     for row in benchmark.select("item_id", "text").toLocalIterator():
-        if row.item_id is None:
-            continue
         for w in sorted(windows(row.text, size)):
             w = w.decode("latin-1")
             if w not in block:
@@ -58,7 +56,7 @@ def blocks(benchmark: DataFrame, size: int) -> Iterator[dict[str, list[str]]]:
                     block, room = {}, 0
                 room += len(w)
             own = block.setdefault(w, [])
-            if str(row.item_id) not in own:
+            if row.item_id is not None and str(row.item_id) not in own:
                 own.append(str(row.item_id))
     if block:
         yield block

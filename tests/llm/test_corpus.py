@@ -308,6 +308,18 @@ def test_decontaminate(spark, docs, rows, odd, none, monkeypatch):
     assert D.find_benchmark(docs, bench.filter("false")).filter("n_hit > 0").count() == 0
 
 
+def test_decontaminate_items_without_id(spark, monkeypatch):
+    from terraframe.llm import decontaminate as D
+
+    item = "one two three four five six seven eight nine"
+    bench = spark.createDataFrame([(None, item), (None, "tiny"), (7, "six seven eight nine ten eleven twelve thirteen")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"x {item} y"), (2, "x Tiny"), (3, "x y")], "doc_id long, text string")
+    for most in (D.BLOCK_BYTES, 30):
+        monkeypatch.setattr(D, "BLOCK_BYTES", most)
+        got = by_id(D.find_benchmark(docs, bench))
+        assert {d: (r.n_hit, r["items"], [tuple(s) for s in r.spans]) for d, r in got.items()} == {1: (9, [], [(2, 2 + len(item))]), 2: (1, [], [(2, 6)]), 3: (0, [], [])}
+
+
 def test_packing(docs, odd, none):
     import public_tokenizers
     from tokenizers import Tokenizer
