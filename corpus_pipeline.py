@@ -19,7 +19,7 @@ from terraframe.llm.near_dedup import near_dedup
 from terraframe.llm.packing import pack
 from terraframe.llm.quality import judge
 
-WINDOW = 8
+WINDOW, SHORT = 8, 4
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,10 +42,12 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no run of eight words or more is covered by the benchmark's windows."""
+    """Documents that hold no window of eight words of an item, nor an item of four to seven words whole. A still shorter item turns up
+    in clean documents by chance, so it only rejects one of whose words it makes up at least half."""
     own = docs.select("doc_id", "text", F.struct(*docs.columns).alias("row"))
-    found = find_benchmark(own, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), WINDOW, runs_only=True)
-    return found.filter(~F.exists("spans", lambda s: s["end"] - s["start"] >= WINDOW)).select("row.*")
+    found = find_benchmark(own, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), WINDOW, with_spans=False, longest=True)
+    n = F.col("longest")
+    return found.filter((n < SHORT) & ((n == 0) | (2 * n < F.col("n_words")))).select("row.*")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

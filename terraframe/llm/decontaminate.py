@@ -65,26 +65,27 @@ def blocks(benchmark: DataFrame, size: int) -> Iterator[dict[str, list[str]]]:
 def automaton(block: dict[str, list[str]]) -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
     for w, items in block.items():
-        a.add_word(f" {w} ", (len(w), items))
+        a.add_word(f" {w} ", (len(w), w.count(" ") + 1, items))
     a.make_automaton()
     return a
 
 
-def hits(text: str | None, a: ahocorasick.Automaton | None) -> tuple[int, list[tuple[int, int]], set[str]]:
-    """Number of words, merged runs [first, end) of hit words, items found."""
+def hits(text: str | None, a: ahocorasick.Automaton | None) -> tuple[int, list[tuple[int, int]], set[str], int]:
+    """Number of words, merged runs [first, end) of hit words, items found, words of the longest window found."""
     n = normal(text)
     if not n:
-        return 0, [], set()
+        return 0, [], set(), 0
     n_words = n.count(b" ") + 1
     if a is None:
-        return n_words, [], set()
+        return n_words, [], set(), 0
     padded = f" {n.decode('latin-1')} "
-    runs, items = [], set()
-    for end, (size, own) in a.iter(padded):
+    runs, items, longest = [], set(), 0
+    for end, (size, words, own) in a.iter(padded):
+        longest = max(longest, words)
         runs.append((end - size, end))  # of the window, without its blanks
         items.update(own)
     if not runs:
-        return n_words, [], items
+        return n_words, [], items, 0
     runs.sort()
     merged = [list(runs[0])]
     for s, e in runs[1:]:
@@ -98,7 +99,7 @@ def hits(text: str | None, a: ahocorasick.Automaton | None) -> tuple[int, list[t
         inside = padded.count(" ", s, e) + 1
         out.append((seen, seen + inside))
         at = s
-    return n_words, out, items
+    return n_words, out, items, longest
 
 
 def offsets(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -115,16 +116,17 @@ def _scan(it: Iterator[pa.RecordBatch], schema: pa.Schema, shared, with_spans: b
         rows = []
         before = b.column("__words").to_pylist() if resume else None
         for i, t in enumerate(b.column("text").to_pylist()):
-            n, runs, items = hits(t, a)
+            n, runs, items, longest = hits(t, a)
             if before and before[i]["runs"]:
                 runs = join_runs(runs + [(x["start"], x["end"]) for x in before[i]["runs"]])
             if before:
                 items |= set(before[i]["items"])
-            rows.append((n, runs, items, t))
+                longest = max(longest, before[i]["longest"])
+            rows.append((n, runs, items, t, longest))
         new = {
-            "n_words": [n for n, *_ in rows], "n_hit": [sum(e - s for s, e in r) for _, r, *_ in rows], "items": [sorted(x) for _, _, x, _ in rows],
-            "spans": [[{"start": s, "end": e} for s, e in (r if runs_only else offsets(t, r) if r and with_spans else [])] for _, r, _, t in rows],
-            "__words": [{"runs": [{"start": s, "end": e} for s, e in r], "items": sorted(x)} for _, r, x, _ in rows],
+            "n_words": [n for n, *_ in rows], "n_hit": [sum(e - s for s, e in r) for _, r, *_ in rows], "items": [sorted(x) for _, _, x, *_ in rows], "longest": [x for *_, x in rows],
+            "spans": [[{"start": s, "end": e} for s, e in (r if runs_only else offsets(t, r) if r and with_spans else [])] for _, r, _, t, _ in rows],
+            "__words": [{"runs": [{"start": s, "end": e} for s, e in r], "items": sorted(x), "longest": y} for _, r, x, _, y in rows],
         }
         yield pa.RecordBatch.from_arrays([pa.array(new[f.name], f.type) if f.name in new else b.column(f.name).cast(f.type) for f in schema], schema=schema)
 
@@ -139,19 +141,20 @@ def join_runs(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def find_benchmark(docs: DataFrame, benchmark: DataFrame, size: int = 8, with_spans: bool = True, runs_only: bool = False) -> DataFrame:
+def find_benchmark(docs: DataFrame, benchmark: DataFrame, size: int = 8, with_spans: bool = True, runs_only: bool = False, longest: bool = False) -> DataFrame:
     """docs with n_words, n_hit, items (ids with an occurring window, sorted as strings) and spans (offsets of hit runs in the
-    original text, in code points; with runs_only, numbers of words instead). See the module for the method and for nulls and ties."""
+    original text, in code points; with runs_only, numbers of words instead); with longest, also the words of the longest window held. See the module for the method and for nulls and ties."""
     spark = docs.sparkSession
     use_repo(spark)
-    base = docs.select(*[c for c in docs.columns if c not in RESULTS])
+    results = RESULTS | ({"longest": T.LongType()} if longest else {})
+    base = docs.select(*[c for c in docs.columns if c not in results])
     every = list(spark.sparkContext.broadcast(x) for x in blocks(benchmark, size)) or [None]
-    words = T.StructType([T.StructField("runs", SPANS), T.StructField("items", T.ArrayType(T.StringType()))])
+    words = T.StructType([T.StructField("runs", SPANS), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("longest", T.LongType())])
     out = base
     for k, shared in enumerate(every):
         last = k == len(every) - 1
         fields = [T.StructField(f.name, f.dataType) for f in base.schema]
-        fields += [T.StructField(n, t) for n, t in RESULTS.items()] if last else [T.StructField("__words", words)]
+        fields += [T.StructField(n, t) for n, t in results.items()] if last else [T.StructField("__words", words)]
         schema = T.StructType(fields)
         arrow = to_arrow_schema(schema)
         out = out.mapInArrow(lambda it, arrow=arrow, shared=shared, last=last, k=k: _scan(it, arrow, shared, with_spans and last, runs_only, k > 0), schema)

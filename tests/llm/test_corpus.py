@@ -320,6 +320,21 @@ def test_decontaminate_items_without_id(spark, monkeypatch):
         assert {d: (r.n_hit, r["items"], [tuple(s) for s in r.spans]) for d, r in got.items()} == {1: (9, [], [(2, 2 + len(item))]), 2: (1, [], [(2, 6)]), 3: (0, [], [])}
 
 
+def test_pipeline_rejects_short_items(spark, tmp_path, monkeypatch):
+    import corpus_pipeline as P
+    from terraframe.llm import decontaminate as D
+
+    items = [(1, "what is the capital of zembla"), (2, "onhava"), (3, "b c d"), (4, "d e f"), (5, "f g h i"), (None, "p q r s t u v w x")]
+    spark.createDataFrame(items, "item_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+    prose = "many other words stand here before and after it so that it is rare "
+    bad = [prose + "What is the capital of Zembla? " + prose, "Onhava.", prose + "q r s t u v w x", prose + "f g h i"]
+    good = [prose + "onhava " + prose, prose + "what is the capital of France", prose + "a b c d e f g z", prose, "", None]
+    docs = spark.createDataFrame([*enumerate(good + bad)], "doc_id long, text string")
+    for most in (D.BLOCK_BYTES, 20):
+        monkeypatch.setattr(D, "BLOCK_BYTES", most)
+        assert sorted(r.doc_id for r in P.decontaminate(spark, docs, str(tmp_path)).collect()) == [*range(len(good))]
+
+
 def test_packing(docs, odd, none):
     import public_tokenizers
     from tokenizers import Tokenizer
