@@ -4,7 +4,9 @@ An archive is a ZIP file with two stored members: archive/data.warc.gz (WARC 1.1
 record: place and length within the member). The reader gets the end of the file, finds the end-of-central-directory record
 (and the ZIP64 one, where a size or place is over its field), parses the central directory, reads the local header of a stored
 member for the place of its data, then reads single records by range. A compressed member, a damaged directory or a member on
-another disk is an error.
+another disk is an error. The directory tells which members to read: all archive/*.warc.gz and all indexes/*. A line of an index may name
+its member ("member", with or without archive/); else it means the member with the name of its index, or else the only one. A member
+that no index covers, and a line that means none, are errors.
 
 Records with equal payloads of at least min_revisit bytes become revisits of the one with the largest page_id. Payloads are
 compared by SHA-256 while planning. Only (digest, page_id) is grouped, with partial maxima first, so that a payload that a third
@@ -219,6 +221,30 @@ def _write(it: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([len(index)], pa.int64())], schema=schema)
 
 
+def places(z: ZipReader) -> dict[str, list[dict]]:
+    """The lines of all indexes by the member they mean."""
+    stem = lambda name: name.rpartition("/")[2].partition(".")[0]
+    own: dict[str, list[dict]] = {m: [] for m in z.members if m.startswith("archive/") and m.endswith(".warc.gz")}
+    named = {stem(m): m for m in own}
+    indexed = set()
+    for index in z.members:
+        if not index.startswith("indexes/") or index.endswith("/"):
+            continue
+        alike = named.get(stem(index)) or (next(iter(own)) if len(own) == 1 else None)
+        indexed.add(alike)
+        for line in z.read(index).splitlines():
+            x = json.loads(line)
+            member = x.get("member", alike)
+            member = member if member in own else f"archive/{member}"
+            if member not in own:
+                raise ValueError(f"a line of {index} means no member of archive/")
+            own[member].append(x)
+    for m, lines in own.items():
+        if not lines and m not in indexed and z.members[m].size:
+            raise ValueError(f"no index covers {m}")
+    return own
+
+
 OUT = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary, path string"
 READ_AHEAD = 4 << 20
 
@@ -230,25 +256,25 @@ def _read(it: Iterator[pa.RecordBatch], with_payload: bool) -> Iterator[pa.Recor
             fs, p = fs_of(path)
             with fs.open_input_file(p) as f:
                 z = ZipReader(f, f.size())
-                base = z.data_at(DATA)
-                places = [json.loads(x) for x in z.read(INDEX).splitlines()]
-                i = 0
-                while i < len(places):  # neighbours in one range, each record then for itself
-                    j, start = i, places[i]["offset"]
-                    while j < len(places) and (j == i or places[j]["offset"] + places[j]["length"] - start <= READ_AHEAD) and places[j]["offset"] == (start if j == i else places[j - 1]["offset"] + places[j - 1]["length"]):
-                        j += 1
-                    run = z.range(base + start, places[j - 1]["offset"] + places[j - 1]["length"] - start)
-                    rows = []
-                    for x in places[i:j]:
-                        head, body = parse(run[x["offset"] - start : x["offset"] - start + x["length"]])
-                        kind, said = head["warc-type"], head["warc-payload-digest"].removeprefix("sha1:")
-                        if kind == "response" and hashlib.sha1(body).hexdigest() != said:
-                            raise ValueError(f"payload of page {x['page_id']} in {path} doesn't have its digest")
-                        n = len(body) if kind == "response" else int(head["x-payload-length"])
-                        ref = head.get("x-refers-to-page-id")
-                        rows.append((int(head["x-page-id"]) if head["x-page-id"] else None, head["warc-target-uri"], kind, n, said, int(ref) if ref else None, body if with_payload else None, path))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), schema)], schema=schema)
-                    i = j
+                for member, own in places(z).items():
+                    base = z.data_at(member)
+                    i = 0
+                    while i < len(own):  # neighbours in one range, each record then for itself
+                        j, start = i, own[i]["offset"]
+                        while j < len(own) and (j == i or own[j]["offset"] + own[j]["length"] - start <= READ_AHEAD) and own[j]["offset"] == (start if j == i else own[j - 1]["offset"] + own[j - 1]["length"]):
+                            j += 1
+                        run = z.range(base + start, own[j - 1]["offset"] + own[j - 1]["length"] - start)
+                        rows = []
+                        for x in own[i:j]:
+                            head, body = parse(run[x["offset"] - start : x["offset"] - start + x["length"]])
+                            kind, said = head["warc-type"], head["warc-payload-digest"].removeprefix("sha1:")
+                            if kind == "response" and hashlib.sha1(body).hexdigest() != said:
+                                raise ValueError(f"payload of page {x['page_id']} in {path} doesn't have its digest")
+                            n = len(body) if kind == "response" else int(head["x-payload-length"])
+                            ref = head.get("x-refers-to-page-id")
+                            rows.append((int(head["x-page-id"]) if head["x-page-id"] else None, head["warc-target-uri"], kind, n, said, int(ref) if ref else None, body if with_payload else None, path))
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), schema)], schema=schema)
+                        i = j
 
 
 def write_archives(pages: DataFrame, min_revisit: int = 1000) -> DataFrame:

@@ -233,6 +233,31 @@ def test_warc(spark):
     assert read_archives(write_archives(pages.filter("false"))).count() == 0
 
 
+def test_warc_several_members(spark, tmp_path):
+    import gzip
+    import json
+
+    from terraframe.llm.warc import ZipWriter, read_archives, record
+
+    def package(name, indexes):
+        with open(tmp_path / name, "wb") as f:
+            z = ZipWriter(f)
+            for m in range(2):
+                z.member(f"archive/part{m}.warc.gz", iter([raw(m, p) for p in range(3)]))
+            for index, lines in indexes.items():
+                z.member(f"indexes/{index}", (json.dumps(x).encode() + b"\n" for x in lines))
+            z.close()
+        return [r.page_id for r in read_archives(spark.createDataFrame([(f"file://{tmp_path}/{name}",)], "path string")).orderBy("page_id").collect()]
+
+    raw = lambda m, p: gzip.compress(record("response", 10 * m + p, "u", b"x%d" % p, hashlib.sha1(b"x%d" % p).hexdigest(), None), mtime=0)
+    at = lambda m: [{"offset": sum(len(raw(m, q)) for q in range(p)), "length": len(raw(m, p)), "page_id": 10 * m + p} for p in range(3)]
+    want = [0, 1, 2, 10, 11, 12]
+    assert package("a.zip", {"part0.jsonl": at(0), "part1.jsonl": at(1)}) == want
+    assert package("b.zip", {"all.jsonl": [x | {"member": f"part{m}.warc.gz"} for m in (1, 0) for x in at(m)]}) == want
+    with pytest.raises(Exception, match="no index covers"):
+        package("c.zip", {"part0.jsonl": at(0)})
+
+
 @pytest.mark.parametrize("zip64", [False, True])
 def test_zip(zip64):
     import io
