@@ -1,29 +1,30 @@
 """Toxicity: maximum-scoring segments of token log-odds, summed over a document.
 
-Training: documents with a label, those of the held-out fold left out. A word's pieces are its prefixes of PREFIXES letters and the
-word itself. Each piece's counts are the (document, distinct word) pairs of toxic and of other documents it covers; its share of toxic
-ones is shrunk by a Dirichlet prior of PRIOR pairs spread as its next shorter piece's share is, the shortest one's as that of all pairs
-(a piece that covers no less than its shorter one says nothing new). So a word never seen is judged by the longest prefix known, and
-rare pieces count as far as they are seen: there is no cut by significance. A piece seen once alone can't outweigh DRIFT and is left
-out; MODEL_PIECES bounds what is sent to the workers (with more, those farthest from the common share stay). A word scores its piece's
-log-odds against the common share, between 0 and CLIP, plus DRIFT, so that a segment's expected score is negative.
+Training: at most LABELLED labelled documents (those with the smallest hashes of their ids), the held-out fold left out. This bound on
+labelled rows is the only one: every piece that two (document, distinct word) pairs or more hold is learnt. A word's pieces are its
+prefixes of PREFIXES letters and the word itself. Each piece's counts are the pairs of toxic and of other documents it covers; its share
+of toxic ones is shrunk by a Dirichlet prior of PRIOR pairs spread as its next shorter piece's share is, the shortest one's as that of
+all pairs (a piece that covers no less than its shorter one says nothing new). So a word never seen is judged by the longest prefix
+known, and rare pieces count as far as they are seen. A word scores its piece's log-odds against the common share, between 0 and CLIP,
+plus DRIFT, so that a segment's expected score is negative.
 
 Scoring: one linear pass over a text finds all maximal scoring segments (each run of tokens whose every prefix and suffix has a
 positive sum, none extensible). The document's statistic is the sum of all its segments' scores by the root of its length, and its
 score a logistic curve over that, fitted to histograms of both classes in training. Each training text is scored with its own counts
-taken out of the model, else rare words would look better than they are.
+taken out of the model, so that the curve is fitted to texts which didn't train the odds that score them.
 
 Segments are set against chance one by one: among clean training texts of n tokens the best segment's score S follows an extreme-value
 law with scale 1/lambda and location growing as ln n. Lambda and K are fitted to the clean training texts' best scores (moments of
 S - ln(n)/lambda, in a few rounds). The evidence is E = lambda S - ln(K n): -ln of the expected number of such segments by chance. A
-segment is reported as significant from E of ln(1/ALPHA). Only counts, sums and histograms reach the driver.
+segment is reported as significant from E of ln(1/ALPHA).
 
-Labelled texts are found by a bitmap of hashed ids of a fixed size before the join with the labels, so the others aren't shuffled.
+Size: the ids of the sample are LABELLED at most, so they are broadcast and no text is shuffled to meet labels; the sample's texts, the
+counts of their pieces and the model are bounded by it, whatever the size of the tables.
 
-Nulls and odd inputs: labels with a null doc_id or toxic are left out; of several labels of one document, toxic wins. Null or empty
-text, and text without tokens, has no segment; its score is the curve at no evidence, below one half. A null doc_id is scored
-and not held out. Without labels of both classes every score is 0. Repeated rows are each scored; empty tables work. Other columns
-pass through; of columns named as the results are, the results' win.
+Nulls and odd inputs: labels with a null doc_id or toxic are left out; of several labels of one document, toxic wins; of several texts
+under one labelled doc_id, the smallest is learnt. Null or empty text, and text without tokens, has no segment; its score is the curve
+at no evidence, below one half. A null doc_id is scored and not held out. Without labels of both classes every score is 0. Repeated rows
+are each scored; empty tables work. Other columns pass through; of columns named as the results are, the results' win.
 """
 
 from __future__ import annotations
@@ -42,9 +43,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import LOWER, table, use_repo
 
-PRIOR, PREFIXES, MODEL_PIECES, DRIFT, CLIP, ALPHA = 20.0, (4, 6, 8), 200_000, -1.0, 4.0, 0.01
-BITS, MEMO = 1 << 25, 200_000
-FOLDS = 5
+PRIOR, PREFIXES, DRIFT, CLIP, ALPHA = 20.0, (4, 6, 8), -1.0, 4.0, 0.01
+LABELLED, FOLDS, MEMO = 20_000, 5, 200_000
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("evidence", T.DoubleType())]))
 RESULTS = {"score": T.DoubleType(), "segments": SPANS}
 _WORD = bytes(c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 or c == 39 else 32 for c in LOWER)
@@ -179,50 +179,31 @@ def _count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush()
 
 
-def maybe_among(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs without most of those whose doc_id isn't in ids: a hash of BITS values, a bitmap of those that ids have."""
-    slot = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(BITS)) + 1
-    number, position = F.bitmap_bucket_number(slot), F.bitmap_bit_position(slot)
-    marks = ids.groupBy(number.alias("__number")).agg(F.bitmap_construct_agg(position).alias("__marks"))
-    byte = F.conv(F.hex(F.substring("__marks", (F.col("__position") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    kept = docs.select("doc_id", "text", number.alias("__number"), position.alias("__position")).join(F.broadcast(marks), "__number")
-    return kept.filter(byte.bitwiseAND(F.expr("shiftleft(1, cast(__position % 8 as int))")) != 0).select("doc_id", "text")
-
-
-def training_rows(docs: DataFrame, labels: DataFrame, folds: int = FOLDS) -> DataFrame:
-    """text and toxic (0 or 1) of the labelled documents outside of the held-out fold."""
+def training_rows(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, most: int = LABELLED) -> DataFrame:
+    """text and toxic (0 or 1) of at most `most` labelled documents outside of the held-out fold."""
     own = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic is not null")
     own = own.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds != 0)
-    kept = maybe_among(docs, own)
-    own = own.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    # one plan at any size
-    return kept.join(own.hint("merge"), "doc_id").select("text", F.when(F.col("toxic") > 0, 1).otherwise(0).alias("toxic"))
+    own = own.groupBy("doc_id").agg(F.when(F.max("toxic") > 0, 1).otherwise(0).alias("toxic"))
+    own = own.orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(most)
+    kept = docs.select("doc_id", "text").join(F.broadcast(own), "doc_id")  # `most` rows at most
+    return kept.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).drop("doc_id")
 
 
-def train(docs: DataFrame, labels: DataFrame, folds: int = FOLDS) -> Model:
+def train(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, most: int = LABELLED) -> Model:
     spark = docs.sparkSession
     use_repo(spark)
-    rows = table(training_rows(docs, labels, folds), "train")
+    rows = table(training_rows(docs, labels, folds, most), "train")
     every = [F.when(F.length("token") >= k, F.concat(F.substring("token", 1, k), F.lit("*"))) for k in PREFIXES]
     # the empty piece counts all pairs
     counts = rows.mapInArrow(_count, "token string, toxic long, other long").select(F.explode(F.array(*every, F.col("token"), F.lit(""))).alias("piece"), "toxic", "other").filter("piece is not null")
     counts = counts.groupBy("piece").agg(F.sum("toxic").alias("a"), F.sum("other").alias("b"))
     counts = table(counts.filter("a + b >= 2"), "counts")
-    total = counts.filter("piece = ''").collect()
-    if not total or not total[0].a or not total[0].b:
+    t = counts.toArrow()  # of a bounded number of texts
+    known = dict(zip(t["piece"].to_pylist(), zip(t["a"].to_pylist(), t["b"].to_pylist())))
+    toxic, other = known.pop("", (0, 0))
+    if not toxic or not other:
         return Model({}, both=False)
-    base = total[0].a / (total[0].a + total[0].b)
-    far = F.abs(F.col("a") - (F.col("a") + F.col("b")) * base) / F.sqrt(F.col("a") + F.col("b") + PRIOR)
-    # cut by a histogram, so that the driver never gets more than the model
-    ranked = counts.filter("piece <> ''").withColumn("rank", F.round(F.log(far + 1e-3) * 50))
-    least, room = None, MODEL_PIECES
-    for r in ranked.groupBy("rank").count().orderBy(F.desc("rank")).collect():
-        room -= r["count"]
-        if room < 0:
-            break
-        least = r["rank"]
-    best = ranked.filter(F.col("rank") >= F.lit(least)).collect()
-    known = {r.piece: (r.a, r.b) for r in best}
+    base = toxic / (toxic + other)
     held = spark.sparkContext.broadcast(known)
 
     def tops(it):

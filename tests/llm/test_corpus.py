@@ -448,6 +448,76 @@ def test_segments():
     assert sparse_segments([3, 4, 9], [1.0, 1.0, 0.25], -0.5) == [(3, 5, 2.0), (9, 10, 0.25)]
 
 
+def brute_toxicity(docs, labels, asked, most):
+    """Scores of asked by the module's formulas, with nothing shared: all labelled texts of the training folds."""
+    from terraframe.llm import toxicity as X
+
+    toxic = {}
+    for d, _, t in labels:
+        if d is not None and t is not None and zlib.crc32(str(d).encode()) % 5:
+            toxic[d] = max(toxic.get(d, 0), t)
+    train = {}
+    for d, t in docs:
+        if d in toxic and t is not None:
+            train[d] = min(train.get(d, t), t)
+    assert len(train) <= most
+    words = lambda t: re.findall(r"[a-z0-9'\x80-\U0010ffff]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))
+    own = lambda w: [w[:k] + "*" for k in (4, 6, 8) if len(w) >= k] + [w]
+    pairs = [(p, d, w) for d, t in train.items() for w in set(words(t)) for p in own(w)]
+
+    def rate(w, without=None):
+        base = [toxic[d] for d, t in train.items() for _ in set(words(t))]
+        base = sum(base) / len(base)
+        r, last = base, -1
+        for p in own(w):
+            held = [d for q, d, _ in pairs if q == p]
+            if len(held) < 2 or len(held) == last:
+                continue
+            last = len(held)
+            held = [d for d in held if d != without]
+            r = (sum(toxic[d] for d in held) + X.PRIOR * r) / (len(held) + X.PRIOR)
+        return min(X.CLIP, max(0.0, np.log(r / (1 - r)) - np.log(base / (1 - base))))
+
+    def stat(text, without=None):
+        known = {w: rate(w, without) + X.DRIFT for w in set(words(text))}
+        x = [known[w] for w in words(text)]
+        good = [(i, j) for i in range(len(x)) for j in range(i + 1, len(x) + 1) if all(sum(x[i:k]) > 0 for k in range(i + 1, j + 1)) and all(sum(x[k:j]) > 0 for k in range(i, j))]
+        return sum(sum(x[i:j]) for i, j in good if not any((a <= i and j <= b) and (a, b) != (i, j) for a, b in good)) / (len(x) + 10) ** 0.5
+
+    fit = [(round(min(40.0, stat(t, d)) * 50) / 50, toxic[d]) for d, t in train.items()]
+    slope, bias = X.logistic(np.array([a for a, _ in fit]), np.array([float(b) for _, b in fit]), np.ones(len(fit)))
+    return {d: 1 / (1 + np.exp(-max(-30.0, min(30.0, slope * stat(t) + bias)))) for d, t in asked}
+
+
+def test_toxicity_equals_brute_force(spark):
+    from terraframe.llm.toxicity import LABELLED, logistic, score_toxicity, train
+
+    r = random.Random(8)
+    prose = lambda n: [r.choice(WORDS) + str(r.randrange(9)) for _ in range(n)]
+    docs, labels = [], []
+    for i in range(60):
+        w = prose(r.randrange(5, 30))
+        if i % 4 == 0:
+            for _ in range(r.randrange(1, 6)):
+                w.insert(r.randrange(len(w)), r.choice(["grumpf", "grumpfig", "Grumpfe", "vile", "éclat"]) + r.choice(["", "s", "7"]))
+        docs.append((i, " ".join(w)))
+        labels.append((i, 1, int(i % 4 == 0)))
+    docs += [(1, "alpha1 a smaller text"), (3, None), (None, "grumpf grumpf"), (70, ""), (71, None), (72, "grumpf vile " * 40), (73, docs[0][1]), (73, docs[0][1])]
+    labels += [(2, 1, 1), (2, 1, 0), (None, 1, 1), (5, 1, None)]
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = collections.Counter((x.doc_id, round(x.score, 9)) for x in score_toxicity(d, train(d, lab)).collect())
+    want = brute_toxicity(docs, labels, [*enumerate(t for _, t in docs)], LABELLED)
+    assert got == collections.Counter((x, round(float(want[i]), 9)) for i, (x, _) in enumerate(docs))
+    assert len({s for _, s in got}) > 10
+    few = train(d, lab, most=30)  # the bound on labelled rows
+    assert few.both and few.odds != train(d, lab).odds
+    x, y, w = np.array([0.0, 1.0, 2.0, 3.0]), np.array([0.0, 1.0, 0.0, 1.0]), np.array([5.0, 1.0, 2.0, 4.0])
+    a, b = logistic(x, y, w)
+    p = 1 / (1 + np.exp(-(a * x + b)))
+    assert abs((w * (y - p) * x).sum() - 1e-3 * a) < 1e-6 and abs((w * (y - p)).sum() - 1e-3 * b) < 1e-6
+
+
 def test_toxicity_held_out(spark, odd, none):
     from terraframe.llm.toxicity import score_toxicity, train
 
