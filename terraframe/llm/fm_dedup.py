@@ -2,11 +2,13 @@
 
 A window is WINDOW (20) consecutive words of one document. Each word covered by a window whose words also start earlier (in a smaller
 doc_id, or earlier in the same document) is removed; windows are judged on the input. repeats.py brings all text that may be equal
-together in shards. A shard's contexts are joined, each behind a separator, and indexed: the suffix array gives the Burrows-Wheeler
-transform, which is kept as a wavelet matrix of bit vectors with block counts (about 1.5 bits a bit of the alphabet); of the suffix
-array itself only the place of each row's text stays. Contexts are then streamed against it: backward search, all windows abreast,
-gives the interval of suffixes that start with each window and drops windows as soon as their interval holds one suffix. What is
-left at the full length is a repeat; the smallest place in its interval tells whether it is the first.
+together in shards. A shard's distinct contexts are joined, each behind a separator, and indexed: the suffix array gives the
+Burrows-Wheeler transform, which is kept as a wavelet matrix of bit vectors with block counts (about 1.5 bits a bit of the alphabet);
+of the suffix array itself only every SAMPLE-th place stays, others are found by walking back to one.
+
+Contexts are then streamed against the index: backward search from each place, all abreast, gives its matching statistic, the length
+of the longest string ending there that stands at several places of the corpus (to the window's length). Where it reaches the window,
+the interval of suffixes is reported, its rows are located, and the smallest place among them is that of the window.
 
 Nulls and odd inputs: null text has no words. Rows with one doc_id count as one document, and windows at one start in them don't remove
 each other. A null doc_id counts as the largest. Documents under 20 words stay whole. Empty tables work. Columns of docs other than
@@ -20,9 +22,9 @@ import hashlib
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .repeats import Batch, Plan, removed, window_runs
+from .repeats import Batch, Plan, removed
 
-WINDOW, GRAM = 20, 8
+WINDOW, GRAM, SAMPLE = 20, 8, 8
 
 
 class Bits:
@@ -41,8 +43,12 @@ class Bits:
         return self.before[w].astype(np.int64) + np.bitwise_count(self.words[w] & ((np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1)))
 
 
+    def get(self, i: np.ndarray) -> np.ndarray:
+        return ((self.words[i >> 6] >> (i & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
+
+
 class Wavelet:
-    """A wavelet matrix: rank of symbols in a sequence."""
+    """A wavelet matrix: access to and rank of symbols in a sequence."""
 
     def __init__(self, seq: np.ndarray, sigma: int):
         self.depth = max(1, int(sigma - 1).bit_length())
@@ -52,6 +58,24 @@ class Wavelet:
             self.levels.append(Bits(bit.astype(np.uint8)))
             self.zeros.append(len(seq) - self.levels[-1].ones)
             seq = np.concatenate([seq[bit == 0], seq[bit == 1]])
+        self.first = self._begin(np.arange(sigma))
+
+    def _begin(self, c: np.ndarray) -> np.ndarray:
+        """Where each symbol's run begins on the last level."""
+        at = np.zeros(len(c), np.int64)
+        for bits, zeros, d in zip(self.levels, self.zeros, range(self.depth - 1, -1, -1)):
+            ones = bits.rank1(at)
+            at = np.where((c >> d) & 1, zeros + ones, at - ones)
+        return at
+
+    def symbol(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The symbols at some places, and how often each comes before."""
+        c = np.zeros(len(i), np.int64)
+        for bits, zeros in zip(self.levels, self.zeros):
+            one, ones = bits.get(i), bits.rank1(i)
+            i = np.where(one, zeros + ones, i - ones)
+            c = 2 * c + one
+        return c, i - self.first[c]
 
     def ranks(self, c: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """How often c comes before lo and before hi."""
@@ -65,71 +89,93 @@ class Wavelet:
         return lo - first, hi - first
 
 
-def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes in order of their first depth symbols, by prefix doubling."""
+def suffix_array(text: np.ndarray) -> np.ndarray:
+    """All suffixes in order, by prefix doubling."""
     rank, size = np.unique(text, return_inverse=True)[1].astype(np.int64), 1
     n = len(text)
     while True:
         after = np.zeros(n, np.int64)
         after[: max(n - size, 0)] = rank[size:] + 1
-        order = np.argsort(rank * (n + 2) + after, kind="stable")
-        key = (rank * (n + 2) + after)[order]
+        key = rank * (n + 2) + after
+        order = np.argsort(key)
+        key = key[order]
         new = np.cumsum(np.append(0, key[1:] != key[:-1]))
+        if new[-1] == n - 1:
+            return order
         rank = np.empty(n, np.int64)
         rank[order] = new
         size *= 2
-        if size >= depth or (n and new[-1] == n - 1):
-            return order
 
 
 class FMIndex:
-    def __init__(self, text: np.ndarray, depth: int):
-        self.sa = suffix_array(text, depth)
+    """weight: how much each place of the text counts when a string's occurrences are."""
+
+    def __init__(self, text: np.ndarray, weight: np.ndarray | None = None):
+        sa = suffix_array(text)
         self.n, sigma = len(text), int(text.max()) + 1
-        self.wavelet = Wavelet(text[self.sa - 1], sigma)
+        self.wavelet = Wavelet(text[sa - 1], sigma)
         self.less = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=sigma))])
+        self.weights = np.concatenate([[0], np.cumsum(np.ones(len(text), np.int64) if weight is None else weight[sa])])
+        self.marked = Bits((sa % SAMPLE == 0).astype(np.uint8))
+        self.samples = sa[sa % SAMPLE == 0].astype(np.uint32)
 
     def step(self, c: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Intervals of patterns with one more symbol in front."""
         a, b = self.wavelet.ranks(c, lo, hi)
         return self.less[c] + a, self.less[c] + b
 
-
-def engine(contexts: list[bytes], n: np.ndarray, rank: np.ndarray, start: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows that have an equal one at a smaller (document, start)."""
-    ids: dict[bytes, int] = {}
-    flat = [ids.setdefault(w, len(ids) + 1) for c in contexts for w in [b"", *c.split()]]
-    text = np.array(flat, np.int64)
-    gap = ids[b""]
-    text = np.where(text == gap, 0, text)
-    begin = np.flatnonzero(text == 0) + 1  # of each context
-    index = FMIndex(text, plan.window)
-    # every window: its context, its number there, its place in the text
+    def locate(self, rows: np.ndarray) -> np.ndarray:
+        """The places in the text of some rows of the suffix array."""
+        out, steps, todo, at = np.empty(len(rows), np.int64), 0, np.arange(len(rows)), rows
+        while len(todo):
+            known = self.marked.get(at)
+            out[todo[known]] = self.samples[self.marked.rank1(at[known])].astype(np.int64) + steps
+            todo, at = todo[~known], at[~known]
+            c, before = self.wavelet.symbol(at)
+            at, steps = self.less[c] + before, steps + 1
+        return out
+
+    def matching(self, text: np.ndarray, ends: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Matching statistics, to a length of most: for each end in text the length of the longest string before it with a weight
+        of two or more, and the interval of those that reach most (elsewhere 0, 0)."""
+        length, live = np.zeros(len(ends), np.int64), np.arange(len(ends))
+        lo, hi = np.zeros(len(ends), np.int64), np.full(len(ends), self.n, np.int64)
+        for k in range(1, most + 1):
+            lo, hi = self.step(text[ends[live] - k], lo, hi)
+            more = self.weights[hi] - self.weights[lo] > 1
+            live, lo, hi = live[more], lo[more], hi[more]
+            length[live] = k
+        first, behind = np.zeros(len(ends), np.int64), np.zeros(len(ends), np.int64)
+        first[live], behind[live] = lo, hi
+        return length, first, behind
+
+
+def engine(contexts: list[bytes], n: np.ndarray, place: np.ndarray, weight: np.ndarray, plan: Plan) -> np.ndarray:
+    """The smallest place of each window of contexts that stands at several, else a large number. weight: at how many places each
+    context stands."""
+    ids: dict[bytes, int] = {b"": 0}
+    text = np.array([ids.setdefault(w, len(ids)) for c in contexts for w in [b"", *c.split()]], np.int64)
+    begin = np.flatnonzero(text == 0) + 1
+    sizes = n + plan.window  # with the separator
+    index = FMIndex(text, np.repeat(weight, sizes))
     owner = np.repeat(np.arange(len(contexts)), n)
     within = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
     at = begin[owner] + within
-    live = np.arange(len(at))
-    lo, hi = np.zeros(len(at), np.int64), np.full(len(at), index.n, np.int64)
-    for k in range(plan.window - 1, -1, -1):
-        lo, hi = index.step(text[at[live] + k], lo, hi)
-        more = hi - lo > 1
-        live, lo, hi = live[more], lo[more], hi[more]
-    if not len(live):
-        return window_runs(live, live)
-    # the smallest place in each interval; equal windows have one interval
-    place = np.full(index.n, np.iinfo(np.int64).max)
-    doc_start = start[owner] + within * plan.key_start
-    order = np.lexsort((doc_start, rank[owner]))
-    number = np.empty(len(order), np.int64)
-    same = (rank[owner][order][1:] == rank[owner][order][:-1]) & (doc_start[order][1:] == doc_start[order][:-1])
-    number[order] = np.cumsum(np.append(True, ~same)) - 1
-    place[at] = number
-    by_row = place[index.sa]
-    left, first = np.unique(lo, return_index=True)
-    right = hi[first]
-    least = np.minimum.reduceat(np.append(by_row, np.iinfo(np.int64).max), np.stack([left, right], 1).ravel())[::2]
-    repeat = least[np.searchsorted(left, lo)] < number[live]
-    return window_runs(within[live[repeat]], owner[live[repeat]])
+    out = np.full(len(at), np.iinfo(np.int64).max)
+    length, lo, hi = index.matching(text, at + plan.window, plan.window)
+    found = length == plan.window
+    if not found.any():
+        return out
+    # equal windows have one interval: each is located once, and its smallest place taken
+    left, one, back = np.unique(lo[found], return_index=True, return_inverse=True)
+    right = hi[found][one]
+    reps = right - left
+    rows = np.repeat(left - np.cumsum(reps) + reps, reps) + np.arange(reps.sum())
+    where = index.locate(rows)
+    context = np.searchsorted(begin, where, side="right") - 1
+    least = np.minimum.reduceat(place[context] + (where - begin[context]) * plan.key_start, np.cumsum(reps) - reps)
+    out[found] = least[back]
+    return out
 
 
 def finish(b: Batch, i: int, gone: np.ndarray) -> dict:

@@ -2,28 +2,31 @@
 
 A window is WINDOW consecutive symbols (bytes or words) of one document. Every window has an anchor, the leftmost of the smallest
 gram hashes in it, so equal windows have equal anchors at equal places, and an anchor's windows form one context of text. That makes
-the anchor's gram the key by which the corpus is split into shards: all windows that could be equal meet in one shard.
+the anchor's gram the key by which the corpus is split into shards: all windows that could be equal meet in one shard. Hashes only
+tell where text goes; which windows are equal is found by the engines on the text itself.
 
 1. Documents are gathered into batches, written to the shared folder; each sends the distinct gram hashes of its anchors, sorted and
    delta-coded, to shards by hash range (about 5 bytes an anchor).
-2. A shard tells each batch which of its grams occur elsewhere too (one bit a gram).
-3. A batch reads its file again and sends each distinct context at a repeated gram once, with the smallest place (document, start)
-   it has in the batch, to the gram's shard. Copies within a batch cost nothing more.
-4. A shard joins equal contexts. All but the smallest place are repeats as a whole. Grams with several distinct contexts go to an
-   engine (suffix arrays or an FM-index), which finds the windows with an equal one at a smaller place. Results go back as runs of
-   window numbers.
+2. A shard tells each batch which of its grams occur elsewhere too, and which in more than HOT batches (a bit a gram each).
+3. A batch reads its file again and sorts the suffixes at which its contexts at repeated grams begin (a sparse suffix array, to the
+   context's end). Equal neighbours go to the gram's shard as one record, with the smallest place (document, start) they have in the
+   batch and the next larger one. At hot grams, contexts are cut further, by longer grams, which spreads them over shards.
+4. A shard hands its distinct contexts and their smallest places to an engine (suffix arrays or an FM-index), which gives the smallest
+   place of each window. Windows of a record at a larger place are repeats. Results go back as runs of window numbers.
 5. A batch marks what its repeated windows cover and gives its rows.
 
 Batches bound memory by BATCH_BYTES (a longer document is a batch of its own, scanned in chunks), shards by SHARD_BYTES of text that
-they stand for. A passage that any number of documents share reaches a shard once a batch. Files carry names made of partition and
-number and are renamed into place, so a repeated task writes the same file again.
+they stand for. A passage that any number of documents share reaches a shard once a batch; what a shard holds of it is a record of
+about a hundred bytes for each batch that has it. Files carry names made of partition and number and are renamed into place, so a
+repeated task writes the same file again.
 """
 
 from __future__ import annotations
 
 import struct
+import zlib
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -36,14 +39,16 @@ from .common import NULL_ID, WordHash, ids, mix, read_file, shared_dir, texts, u
 
 HASH_BITS = 56
 CHUNK = 1 << 19
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 8 << 20
+HOT = 512
 _ODD = [int(x) for x in mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)]
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 @dataclass(frozen=True)
 class Plan:
-    """What is sought. key_start: whether an equal window earlier in the same document counts."""
+    """What is sought. key_start: whether an equal window earlier in the same document counts. hot: batches that hold a gram, beyond
+    which its contexts are cut by longer grams."""
 
     words: bool
     window: int
@@ -52,6 +57,7 @@ class Plan:
     batch_bytes: int
     engine: Callable
     finish: Callable
+    hot: int = HOT
 
 
 # --- coding ----------------------------------------------------------------------------------------
@@ -122,7 +128,7 @@ def _sliding_min(v: np.ndarray, w: int) -> np.ndarray:
 
 
 def anchors(symbols: np.ndarray, ends: np.ndarray, plan: Plan) -> dict[str, np.ndarray]:
-    """Contexts of a batch: gram (hash, HASH_BITS), text (64-bit hash of the context), lo, n (its windows start at lo .. lo + n - 1).
+    """Contexts of a batch: gram (hash, HASH_BITS), lo, n (its windows start at lo .. lo + n - 1).
     symbols: of all documents in a row; ends: where each document ends."""
     w = plan.window - plan.gram + 1
     every = []
@@ -140,25 +146,36 @@ def anchors(symbols: np.ndarray, ends: np.ndarray, plan: Plan) -> dict[str, np.n
         new[1:] = (at[1:] != at[:-1]) | ~valid[:-1]
         lo = np.flatnonzero(new & valid)
         stop = np.flatnonzero(valid & np.append((at[1:] != at[:-1]) | ~valid[1:], True))
-        whole = grams(x, plan.window)
-        n = stop - lo + 1
-        text = mix(whole[lo] * np.uint64(_ODD[60]) + mix(whole[stop] * np.uint64(_ODD[61]) + n.astype(np.uint64)))
-        every.append((h[at[lo]] >> np.uint64(64 - HASH_BITS), text, lo + c, n))
-    cols = [np.concatenate(x) for x in zip(*every)] if every else [np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)]
-    return dict(zip(("gram", "text", "lo", "n"), cols))
+        every.append((h[at[lo]] >> np.uint64(64 - HASH_BITS), lo + c, stop - lo + 1))
+    cols = [np.concatenate(x) for x in zip(*every)] if every else [np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)]
+    return dict(zip(("gram", "lo", "n"), cols))
+
+
+def split(a: dict[str, np.ndarray], hot: np.ndarray, longer: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Contexts a, those that are hot cut where the anchors of longer grams change, with both grams as the key."""
+    lo, stop = a["lo"][hot], a["lo"][hot] + a["n"][hot]
+    first = np.searchsorted(longer["lo"], lo, side="right") - 1
+    reps = np.searchsorted(longer["lo"], stop - 1, side="right") - first
+    own = np.repeat(np.arange(len(lo)), reps)
+    j = first[own] + np.arange(len(own)) - np.repeat(np.cumsum(reps) - reps, reps)
+    begin = np.maximum(lo[own], longer["lo"][j])
+    n = np.minimum(stop[own], longer["lo"][j] + longer["n"][j]) - begin
+    gram = mix(a["gram"][hot][own] * np.uint64(_ODD[62]) + longer["gram"][j]) >> np.uint64(64 - HASH_BITS)
+    return {k: np.concatenate([a[k][~hot], x]) for k, x in (("gram", gram), ("lo", begin), ("n", n))}
 
 
 class Batch:
     """The documents of one batch file."""
 
-    def __init__(self, doc_ids: np.ndarray, raw: list[bytes], plan: Plan, hashes: WordHash | None = None):
+    def __init__(self, doc_ids: np.ndarray, raw: list[bytes], plan: Plan, hashes: WordHash | None = None, hashed: bool = True):
         self.ids, self.raw, self.plan = doc_ids, raw, plan
         if plan.words:
             self.words = [r.split() for r in raw]
-            hashes = WordHash() if hashes is None else hashes
-            parts = [hashes.of(x) for x in self.words]
-            self.symbols = np.concatenate(parts) if parts else np.empty(0, np.uint64)
-            self.flat = [w for x in self.words for w in x]
+            if hashed:
+                hashes = WordHash() if hashes is None else hashes
+                parts = [hashes.of(x) for x in self.words]
+                self.symbols = np.concatenate(parts) if parts else np.empty(0, np.uint64)
+                self.flat = [w for x in self.words for w in x]
             sizes = [len(x) for x in self.words]
         else:
             self.bytes = b"".join(raw)
@@ -170,14 +187,36 @@ class Batch:
         write_file(uri, pack(self.ids.astype("<i8"), np.array([len(x) for x in self.raw], "<i8"), b"".join(self.raw)))
 
     @classmethod
-    def load(cls, uri: str, plan: Plan) -> Batch:
+    def load(cls, uri: str, plan: Plan, hashed: bool = True) -> Batch:
         doc_ids, sizes, data = unpack(read_file(uri), "<i8", "<i8", "bytes")
         ends = np.cumsum(sizes)
-        return cls(doc_ids, [data[e - n : e] for e, n in zip(ends.tolist(), sizes.tolist())], plan)
+        return cls(doc_ids, [data[e - n : e] for e, n in zip(ends.tolist(), sizes.tolist())], plan, None, hashed)
 
     def text(self, lo: int, hi: int) -> bytes:
         return b" ".join(self.flat[lo:hi]) if self.plan.words else self.bytes[lo:hi]
 
+    def units(self) -> np.ndarray:
+        """The symbols in as few bytes as tell them apart within the batch."""
+        if not self.plan.words:
+            return self.symbols
+        seen: dict[bytes, int] = {}
+        return np.fromiter((seen.setdefault(w, len(seen) + 1) for w in self.flat), ">u4", len(self.flat))
+
+
+def suffixes(b: Batch, lo: np.ndarray, n: np.ndarray, key: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sparse suffix array of a batch: contexts in order of their text, then length, then place; and which differ from the one
+    before."""
+    units, width = b.units(), int(n.max(initial=1)) + b.plan.window - 1
+    padded = np.concatenate([units, np.zeros(width, units.dtype)]).astype(units.dtype)
+    text = np.lib.stride_tricks.sliding_window_view(padded, width)[lo]
+    text[np.arange(width) >= (n + b.plan.window - 1)[:, None]] = 0
+    text = text.view(f"S{width * units.itemsize}").ravel()
+    order = np.lexsort((start, key, n))
+    order = order[np.argsort(text[order], kind="stable")]
+    new = np.ones(len(order), bool)
+    new[1:] = (text[order][1:] != text[order][:-1]) | (n[order][1:] != n[order][:-1])
+    return order, new
+
 
 def _distinct(a: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted distinct grams, whether each has several anchors, and the number of each anchor's gram."""
@@ -208,7 +247,8 @@ def _send_grams(it: Iterator[pa.RecordBatch], plan: Plan, folder: str, shards: i
         g, several, _ = _distinct(anchors(b.symbols, b.ends, plan))
         v = (g << np.uint64(1)) | several.astype(np.uint64)
         cut = _cuts(g, shards)
-        use = [i for i in range(shards) if cut[i] < cut[i + 1] or i == 0]  # shard 0 hears of every batch
+        home = zlib.crc32(name.encode()) % shards  # one shard hears of a batch in any case
+        use = [i for i in range(shards) if cut[i] < cut[i + 1] or i == home]
         return pa.RecordBatch.from_arrays([pa.array(use, pa.int32()), pa.array([name] * len(use)), pa.array([deltas(v[cut[i] : cut[i + 1]]) for i in use], pa.binary())], schema=schema)
 
     doc_ids, raw, size = [], [], 0
@@ -223,18 +263,15 @@ def _send_grams(it: Iterator[pa.RecordBatch], plan: Plan, folder: str, shards: i
         yield flush(doc_ids, raw)
 
 
-def _find_repeated(pdf: pd.DataFrame) -> pd.DataFrame:
+def _find_repeated(pdf: pd.DataFrame, hot: int) -> pd.DataFrame:
+    """For each gram of each batch two bits: whether it occurs elsewhere too, and in more than hot batches."""
     own = [undelta(x) for x in pdf["grams"]]
     v = np.concatenate(own)
-    h = v >> np.uint64(1)
-    order = np.argsort(h, kind="stable")
-    same = h[order][1:] == h[order][:-1]
-    again = np.zeros(len(v), bool)
-    again[order[1:]] |= same
-    again[order[:-1]] |= same
-    again |= (v & np.uint64(1)).astype(bool)
+    _, inverse, count = np.unique(v >> np.uint64(1), return_inverse=True, return_counts=True)
+    batches = count[inverse]
+    bits = np.stack([(batches > 1) | (v & np.uint64(1)).astype(bool), batches > hot], 1)
     cut = np.cumsum([len(x) for x in own])[:-1]
-    return pd.DataFrame({"batch": pdf["batch"], "shard": pdf["shard"], "bits": [np.packbits(x).tobytes() for x in np.split(again, cut)]})
+    return pd.DataFrame({"batch": pdf["batch"], "shard": pdf["shard"], "bits": [np.packbits(x).tobytes() for x in np.split(bits, cut)]})
 
 
 def _send_contexts(pdf: pd.DataFrame, plan: Plan, folder: str, shards: int) -> pd.DataFrame:
@@ -242,89 +279,93 @@ def _send_contexts(pdf: pd.DataFrame, plan: Plan, folder: str, shards: int) -> p
     b = Batch.load(f"{folder}/batches/{name}", plan)
     a = anchors(b.symbols, b.ends, plan)
     g, _, which = _distinct(a)
-    cut, again = _cuts(g, shards), np.zeros(len(g), bool)
+    cut, told = _cuts(g, shards), np.zeros((len(g), 2), bool)
     for shard, bits in zip(pdf["shard"], pdf["bits"]):
         n = cut[shard + 1] - cut[shard]
-        again[cut[shard] : cut[shard + 1]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=n).astype(bool)
-    a = {k: x[again[which]] for k, x in a.items()}
+        told[cut[shard] : cut[shard + 1]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=2 * n).reshape(-1, 2)
+    again, hot = told[which].T if len(which) else (np.zeros(0, bool), np.zeros(0, bool))
+    a = {k: x[again] for k, x in a.items()}
+    if (hot := hot[again]).any():
+        a = split(a, hot, anchors(b.symbols, b.ends, replace(plan, gram=(plan.gram + plan.window) // 2)))
     lo, n = a["lo"], a["n"]
     doc = np.searchsorted(b.ends, lo, side="right")
     key, start = b.ids[doc] if len(lo) else lo, (lo - b.starts[doc] if len(lo) else lo) * plan.key_start
-    order = np.lexsort((start, key, a["text"]))
-    first = np.ones(len(order), bool)
-    t = a["text"][order]
-    first[1:] = t[1:] != t[:-1]
+    order, new = suffixes(b, lo, n, key, start)
     number = np.empty(len(order), np.int64)
-    number[order] = np.cumsum(first) - 1
-    pick = order[first]  # the smallest place of each distinct context
-    later = np.zeros(len(lo), bool)  # occurrences behind that place
-    p = pick[number]
-    later[:] = (key > key[p]) | ((key == key[p]) & (start > start[p]))
+    number[order] = np.cumsum(new) - 1
+    pick = order[new]  # the smallest place of each distinct context
+    later = (key > key[pick[number]]) | ((key == key[pick[number]]) & (start > start[pick[number]]))
+    behind = order[later[order]]
+    has, second = np.unique(number[behind], return_index=True)
+    key2, start2 = np.full(len(pick), -1, np.int64), np.full(len(pick), -1, np.int64)  # the next larger place, if there is one
+    key2[has], start2[has] = key[behind[second]], start[behind[second]]
+    again2 = np.zeros(len(pick), bool)
+    again2[has] = True
     write_file(f"{folder}/contexts/{name}", pack(number.astype("<u4"), lo.astype("<i8"), n.astype("u1"), later))
-    grams_, shard = a["gram"][pick], (a["gram"][pick] % np.uint64(shards)).astype(np.int64)
+    shard = (a["gram"][pick] % np.uint64(shards)).astype(np.int64)
     out = []
     by = np.argsort(shard, kind="stable")
     for rows in np.split(by, np.flatnonzero(np.diff(shard[by])) + 1):
         if len(rows):
             q = pick[rows]
             ctx = [b.text(x, x + k + plan.window - 1) for x, k in zip(lo[q].tolist(), n[q].tolist())]
-            blob = pack(rows.astype("<u4"), grams_[rows].astype("<u8"), n[q].astype("u1"), key[q].astype("<i8"), start[q].astype("<i8"), np.array([len(x) for x in ctx], "<u4"), b"".join(ctx))
-            out.append((int(shard[rows[0]]), name, blob))
-    out.append((0, name, b""))  # shard 0 hears of every batch
+            places = np.stack([key[q], start[q], key2[rows], start2[rows]]).astype("<i8")
+            out.append((int(shard[rows[0]]), name, pack(rows.astype("<u4"), n[q].astype("u1"), again2[rows], places, np.array([len(x) for x in ctx], "<u4"), b"".join(ctx))))
+    out.append((zlib.crc32(name.encode()) % shards, name, b""))  # one shard hears of a batch in any case
     return pd.DataFrame(out, columns=["shard", "batch", "contexts"])
 
 
 def _judge(pdf: pd.DataFrame, plan: Plan) -> pd.DataFrame:
-    """Runs of repeated windows, by batch: context number, first window, window behind the last."""
-    pdf = pdf.sort_values("batch", kind="stable")
+    """Runs of repeated windows, by batch: twice the record's number (and one, for its places behind the smallest), first window,
+    window behind the last."""
     names = sorted(set(pdf["batch"]))
-    cols: list[list] = [[] for _ in range(6)]
-    ctx: list[bytes] = []
+    at = {x: i for i, x in enumerate(names)}
+    cols: list[list] = [[] for _ in range(5)]
+    seen: dict[bytes, int] = {}
+    number: list[int] = []
     for name, blob in zip(pdf["batch"], pdf["contexts"]):
         if not len(blob):
             continue
-        row, gram, n, key, start, sizes, data = unpack(blob, "<u4", "<u8", "u1", "<i8", "<i8", "<u4", "bytes")
-        for c, x in zip(cols, (np.full(len(row), names.index(name) if len(names) < 50 else np.searchsorted(names, name)), row, gram, n, key, start)):
+        row, n, more, places, sizes, data = unpack(blob, "<u4", "u1", "?", "<i8", "<u4", "bytes")
+        places = places.reshape(4, -1)
+        end = 0
+        for k in sizes.tolist():
+            number.append(seen.setdefault(data[end : end + k], len(seen)))
+            end += k
+        one = np.full(len(row), at[name]), 2 * row.astype(np.int64), n.astype(np.int64), places[0], places[1]
+        for c, x in zip(cols, one):
             c.append(x)
-        ends = np.cumsum(sizes).tolist()
-        ctx += [data[e - k : e] for e, k in zip(ends, sizes.tolist())]
-    found: list[tuple[np.ndarray, ...]] = []
-    if ctx:
-        batch, row, gram, n, key, start = (np.concatenate(c) for c in cols)
-        same: dict[bytes, int] = {}
-        number = np.fromiter((same.setdefault(c, len(same)) for c in ctx), np.int64, len(ctx))
-        order = np.lexsort((start, key, number))
-        first = np.ones(len(order), bool)
-        first[1:] = number[order][1:] != number[order][:-1]
-        pick = np.empty(len(same), np.int64)
-        pick[number[order[first]]] = order[first]
-        p = pick[number]
-        whole = (key > key[p]) | ((key == key[p]) & (start > start[p]))
-        found.append((batch[whole], row[whole], np.zeros(whole.sum(), np.int64), n[whole].astype(np.int64)))
-        # grams with several distinct contexts, at their smallest places
-        g, inverse, count = np.unique(gram[pick], return_inverse=True, return_counts=True)
-        some = pick[count[inverse] > 1]
-        if len(some):
-            some = some[np.lexsort((start[some], key[some]))]
-            places, rank = np.unique(key[some], return_inverse=True)
-            w, o1, o2 = plan.engine([ctx[i] for i in some.tolist()], n[some].astype(np.int64), rank.astype(np.int64), start[some], plan)
-            # equal contexts that share the smallest place (one doc_id in several rows) are judged alike
-            ties = np.flatnonzero(~whole)
-            by = np.argsort(number[ties], kind="stable")
-            lo, hi = (np.searchsorted(number[ties][by], number[some[w]], side=s) for s in ("left", "right"))
-            reps = hi - lo
-            at = np.repeat(lo, reps) + (np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps))
-            to = ties[by][at]
-            found.append((batch[to], row[to], np.repeat(o1, reps), np.repeat(o2, reps)))
-    if found:
-        b, r, x, y = (np.concatenate(c) for c in zip(*found))
+        if more.any():  # as records of their own: what stands at places behind the smallest
+            number += np.array(number[-len(row) :])[more].tolist()
+            for c, x in zip(cols, (one[0][more], one[1][more] + 1, one[2][more], places[2][more], places[3][more])):
+                c.append(x)
     out = []
-    order = np.argsort(b, kind="stable") if found else np.empty(0, np.int64)
-    for rows in np.split(order, np.flatnonzero(np.diff(b[order])) + 1) if len(order) else []:
-        out.append((names[int(b[rows[0]])], pack(r[rows].astype("<u4"), x[rows].astype("u1"), y[rows].astype("u1"))))
+    if number:
+        batch, record, n, key, start = map(np.concatenate, cols)
+        which = np.array(number)
+        _, rank = np.unique(key, return_inverse=True)
+        place = (rank.astype(np.int64) << 32) + start
+        least = np.full(len(seen), np.iinfo(np.int64).max)
+        np.minimum.at(least, which, place)
+        size = np.zeros(len(seen), np.int64)
+        size[which] = n
+        by = np.argsort(least, kind="stable")
+        ctx = list(seen)
+        first_of = plan.engine([ctx[i] for i in by.tolist()], size[by], least[by], np.bincount(which, minlength=len(seen))[by], plan)
+        del ctx, seen
+        begin = np.empty(len(by), np.int64)
+        begin[by] = np.cumsum(size[by]) - size[by]
+        # all windows of all records: the smallest place of an equal window, against their own
+        owner = np.repeat(np.arange(len(which)), n)
+        within = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+        hit = first_of[begin[which[owner]] + within] < place[owner] + within * plan.key_start
+        r, x, y = window_runs(within[hit], owner[hit])
+        order = np.argsort(batch[r], kind="stable")
+        r, x, y = r[order], x[order], y[order]
+        for rows in np.split(np.arange(len(r)), np.flatnonzero(np.diff(batch[r])) + 1) if len(r) else []:
+            out.append((names[int(batch[r[rows[0]]])], pack(record[r[rows]].astype("<i8"), x[rows].astype("u1"), y[rows].astype("u1"))))
     told = {x for x, _ in out}
-    if (pdf["shard"] == 0).any():
-        out += [(x, b"") for x in names if x not in told]
+    out += [(name, b"") for name, blob in zip(pdf["batch"], pdf["contexts"]) if not len(blob) and name not in told]
     return pd.DataFrame(out, columns=["batch", "runs"])
 
 
@@ -341,21 +382,19 @@ def window_runs(windows: np.ndarray, contexts: np.ndarray) -> tuple[np.ndarray,
 
 def _cover(pdf: pd.DataFrame, plan: Plan, folder: str) -> pd.DataFrame:
     name = pdf["batch"].iloc[0]
-    b = Batch.load(f"{folder}/batches/{name}", plan)
+    b = Batch.load(f"{folder}/batches/{name}", plan, False)
     number, lo, n, later = unpack(read_file(f"{folder}/contexts/{name}"), "<u4", "<i8", "u1", "?")
-    step = np.zeros(len(b.symbols) + 1, np.int64)
-    np.add.at(step, lo[later], 1)
-    np.add.at(step, lo[later] + n[later] + plan.window - 1, -1)
-    order = np.argsort(number, kind="stable")
+    step = np.zeros(int(b.ends[-1] if len(b.ends) else 0) + 1, np.int64)
+    record = 2 * number.astype(np.int64) + later
+    order = np.argsort(record, kind="stable")
     for blob in pdf["runs"]:
         if len(blob):
-            r, x, y = unpack(blob, "<u4", "u1", "u1")
-            left, right = (np.searchsorted(number[order], r, side=s) for s in ("left", "right"))
+            r, x, y = unpack(blob, "<i8", "u1", "u1")
+            left, right = (np.searchsorted(record[order], r, side=s) for s in ("left", "right"))
             reps = right - left
             at = order[np.repeat(left, reps) + (np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps))]
-            keep = ~later[at]
-            np.add.at(step, (lo[at] + np.repeat(x, reps))[keep], 1)
-            np.add.at(step, (lo[at] + np.repeat(y, reps) - 1 + plan.window)[keep], -1)
+            np.add.at(step, lo[at] + np.repeat(x, reps), 1)
+            np.add.at(step, lo[at] + np.repeat(y, reps) - 1 + plan.window, -1)
     gone = np.cumsum(step[:-1]) > 0
     out = [plan.finish(b, i, gone[s:e]) for i, (s, e) in enumerate(zip(b.starts.tolist(), b.ends.tolist()))]
     frame = pd.DataFrame(out)
@@ -370,10 +409,11 @@ def removed(docs: DataFrame, plan: Plan, schema: str) -> DataFrame:
     folder = shared_dir(spark)
     d = docs.select("doc_id", "text")
     total = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(1, -(-total // (4 * SHARD_BYTES)))
-    fine = max(1, -(-total // SHARD_BYTES))
+    shards = max(1, -(-total // SHARD_BYTES))
+    # small rows stand for much work, so these steps don't leave the number of tasks to the size of their rows
+    parts = max(1, -(-total // (8 * plan.batch_bytes)), spark.sparkContext.defaultParallelism)
     grams_ = d.mapInArrow(lambda it: _send_grams(it, plan, folder, shards), "shard int, batch string, grams binary")
-    repeated = grams_.groupBy("shard").applyInPandas(_find_repeated, "batch string, shard int, bits binary")
-    contexts = repeated.groupBy("batch").applyInPandas(lambda p: _send_contexts(p, plan, folder, shards), "shard int, batch string, contexts binary")
+    repeated = grams_.groupBy("shard").applyInPandas(lambda p: _find_repeated(p, plan.hot), "batch string, shard int, bits binary")
+    contexts = repeated.repartition(parts, "batch").groupBy("batch").applyInPandas(lambda p: _send_contexts(p, plan, folder, shards), "shard int, batch string, contexts binary")
     runs = contexts.groupBy("shard").applyInPandas(lambda p: _judge(p, plan), "batch string, runs binary")
-    return runs.groupBy("batch").applyInPandas(lambda p: _cover(p, plan, folder), f"doc_id long, {schema}")
+    return runs.repartition(parts, "batch").groupBy("batch").applyInPandas(lambda p: _cover(p, plan, folder), f"doc_id long, {schema}")

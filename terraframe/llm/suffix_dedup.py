@@ -1,10 +1,12 @@
 """Suffix-array dedup of byte strings: a logarithmic family of suffix arrays in each shard.
 
 Of every byte string of WINDOW bytes (50) that also starts in a document with a smaller doc_id, all bytes are removed; windows are
-judged on the input. repeats.py brings all text that may be equal together in shards, in order of doc_id. A shard is fed in batches:
-a batch's suffixes (those at which a window starts) are sorted to the window's length into a suffix array, which is merge-scanned
-against each existing level for matches of a whole window; then it becomes a level, and levels of about equal size are merged, so
-that a shard of n suffixes has about log2(n / INDEX_BATCH) levels, and each suffix is merged as often.
+judged on the input. repeats.py brings all text that may be equal together in shards; contexts come in order of doc_id and are taken
+in batches. A batch's suffixes (those at which a window starts) are sorted to the window's length into a suffix array, which is
+merge-scanned against each existing level for matches of a whole window: both are sorted, so each search goes on from where the last
+one ended. Then the batch becomes a level, and levels of about equal size are merged, so that a shard of n suffixes has about
+log2(n / INDEX_BATCH) levels, and each suffix is merged as often. A level is its text and the places of suffixes in it, in order; of
+suffixes with equal windows the one with the smallest document stays.
 
 Suffixes are kept only where repeats.py found a gram that occurs elsewhere: any other can have no match.
 
@@ -20,71 +22,92 @@ import hashlib
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .repeats import Batch, Plan, removed, window_runs
+from .repeats import Batch, Plan, removed
 
 WINDOW, GRAM = 50, 20
 INDEX_BATCH = 1 << 16
 
 
+def windows_at(text: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
+    """The depth bytes at each place, as strings that compare."""
+    rows = np.lib.stride_tricks.sliding_window_view(text, depth)[at]
+    return np.ascontiguousarray(rows).view(f"S{depth}").ravel()
+
+
 class Level:
-    """A suffix array to the depth of a window: distinct windows in order, each with the smallest document holding it."""
+    """A suffix array to the depth of a window: the text, the places of its distinct windows in their order (sa), and the smallest
+    place in the corpus of each."""
 
-    def __init__(self, windows: np.ndarray, docs: np.ndarray):
-        self.windows, self.docs = windows, docs
+    def __init__(self, text: np.ndarray, sa: np.ndarray, least: np.ndarray, depth: int):
+        self.text, self.sa, self.least, self.depth = text, sa, least, depth
 
-    def scan(self, windows: np.ndarray) -> np.ndarray:
-        """For sorted windows, the smallest document here that holds each; a large number if none does."""
-        at = np.searchsorted(self.windows, windows)
-        at[at == len(self.windows)] = 0
-        return np.where(self.windows[at] == windows, self.docs[at], np.iinfo(np.int64).max)
+    def windows(self) -> np.ndarray:
+        return windows_at(self.text, self.sa, self.depth)
 
     @classmethod
-    def of(cls, windows: np.ndarray, docs: np.ndarray) -> Level:
-        order = np.argsort(windows, kind="stable")  # on two sorted runs a merge
-        windows, docs = windows[order], docs[order]
-        first = np.flatnonzero(np.append(True, windows[1:] != windows[:-1])) if len(windows) else np.empty(0, np.int64)
-        return cls(windows[first], np.minimum.reduceat(docs, first) if len(first) else docs)
+    def of(cls, text: np.ndarray, at: np.ndarray, place: np.ndarray, depth: int) -> tuple[Level, np.ndarray]:
+        """The level of suffixes at some places of a text; and for each of them its number in it."""
+        w = windows_at(text, at, depth)
+        order = np.argsort(w, kind="stable")
+        w = w[order]
+        new = np.append(True, w[1:] != w[:-1])[: len(w)]
+        number = np.empty(len(w), np.int64)
+        number[order] = np.cumsum(new) - 1
+        first = np.flatnonzero(new)
+        return cls(text, at[order][first], np.minimum.reduceat(place[order], first) if len(first) else place, depth), number
+
+    def scan(self, windows: np.ndarray) -> np.ndarray:
+        """For windows in order, the smallest place here of each; a large number if none is equal."""
+        own = self.windows()
+        at = np.searchsorted(own, windows)
+        at[at == len(own)] = 0
+        return np.where(own[at] == windows, self.least[at], np.iinfo(np.int64).max)
+
+    def merged(self, other: Level) -> Level:
+        """Both as one: a merge of their two orders."""
+        text = np.concatenate([self.text, other.text])
+        sa = np.concatenate([self.sa, other.sa + len(self.text)])
+        w = np.concatenate([self.windows(), other.windows()])
+        order = np.argsort(w, kind="stable")  # two runs in order: a merge
+        w = w[order]
+        first = np.flatnonzero(np.append(True, w[1:] != w[:-1]))
+        return Level(text, sa[order][first], np.minimum.reduceat(np.concatenate([self.least, other.least])[order], first), self.depth)
 
 
 class Family:
     """Levels of geometrically growing size."""
 
-    def __init__(self):
+    def __init__(self, depth: int = WINDOW):
         self.levels: list[Level] = []
+        self.depth = depth
 
-    def add(self, windows: np.ndarray, docs: np.ndarray) -> np.ndarray:
-        """Takes a batch; gives, for each of its windows, the smallest document holding an equal one so far."""
-        new = Level.of(windows, docs)
-        least = new.docs.copy()
+    def add(self, text: np.ndarray, at: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Takes a batch: the suffixes at some places of a text, with their places in the corpus. Gives, for each of them, the smallest
+        place of an equal window so far."""
+        new, number = Level.of(text, at, place, self.depth)
+        windows, least = new.windows(), new.least.copy()
         for level in self.levels:
-            np.minimum(least, level.scan(new.windows), out=least)
-        out = least[np.searchsorted(new.windows, windows)]
-        while self.levels and len(self.levels[-1].windows) < 2 * len(new.windows):
-            old = self.levels.pop()
-            new = Level.of(np.concatenate([old.windows, new.windows]), np.concatenate([old.docs, new.docs]))
+            np.minimum(least, level.scan(windows), out=least)
+        while self.levels and len(self.levels[-1].sa) < 2 * len(new.sa):
+            new = self.levels.pop().merged(new)
         self.levels.append(new)
-        return out
+        return least[number]
 
 
-def engine(contexts: list[bytes], n: np.ndarray, rank: np.ndarray, start: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Contexts come by document; runs of windows that also start in an earlier one."""
-    family, hits = Family(), []
-    offsets = np.arange(plan.window)
+def engine(contexts: list[bytes], n: np.ndarray, place: np.ndarray, weight: np.ndarray, plan: Plan) -> np.ndarray:
+    """The smallest place of each window of contexts; they come by place, so a window's smallest place is known when it is added."""
+    family, out = Family(plan.window), []
+    last = np.cumsum(n)
     i = 0
     while i < len(contexts):
-        j = i + int(np.searchsorted(np.cumsum(n[i:]), INDEX_BATCH)) + 1
-        data = np.frombuffer(b"".join(contexts[i:j]), np.uint8)
+        j = max(i + 1, int(np.searchsorted(last, (last[i - 1] if i else 0) + INDEX_BATCH, side="right")))
+        text = np.frombuffer(b"".join(contexts[i:j]), np.uint8)
         sizes = n[i:j] + plan.window - 1
-        owner = np.repeat(np.arange(i, min(j, len(contexts))), n[i:j])
-        within = np.arange(len(owner)) - np.repeat(np.cumsum(n[i:j]) - n[i:j], n[i:j])
+        within = np.arange(n[i:j].sum()) - np.repeat(np.cumsum(n[i:j]) - n[i:j], n[i:j])
         at = np.repeat(np.cumsum(sizes) - sizes, n[i:j]) + within
-        windows = np.ascontiguousarray(data[at[:, None] + offsets]).view(f"S{plan.window}").ravel()
-        least = family.add(windows, rank[owner])
-        hit = least < rank[owner]
-        hits.append((within[hit], owner[hit]))
+        out.append(family.add(text, at, np.repeat(place[i:j], n[i:j]) + within * plan.key_start))
         i = j
-    w, c = (np.concatenate(x) for x in zip(*hits))
-    return window_runs(w, c)
+    return np.concatenate(out)
 
 
 def finish(b: Batch, i: int, gone: np.ndarray) -> dict:

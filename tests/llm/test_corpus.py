@@ -70,66 +70,116 @@ def test_query_equals_sql(spark, name):
     assert sorted((tuple(r) for r in got.select(names).collect()), key=key) == sorted(want.fetchall(), key=key)
 
 
+def fates(frame, *columns):
+    """All rows, counted: (doc_id, columns), for tables in which a doc_id stands in several rows or none."""
+    return collections.Counter(tuple(r[c] for c in ("doc_id", *columns)) for r in frame.collect())
+
+
+ODD = lambda rows: rows + [(None, *rows[14][1:]), rows[14], rows[14], (rows[14][0], *rows[12][1:]), (None, *[None] * 8)]
+
+
 def brute_bytes(rows):
-    seen, out = set(), {}
-    for d, t in sorted((r[0], r[1] or "") for r in rows):
-        b = t.encode()
-        own = [b[i : i + 50] for i in range(len(b) - 49)]
+    """Rows of one doc_id don't remove from each other; a null one is the largest."""
+    key = lambda d: 2**63 - 1 if d is None else d
+    first, out = {}, []
+    for d, t, *_ in rows:
+        b = (t or "").encode()
+        for i in range(len(b) - 49):
+            x = b[i : i + 50]
+            first[x] = min(first.get(x, key(d)), key(d))
+    for d, t, *_ in rows:
+        b = (t or "").encode()
         gone = bytearray(len(b))
-        for i, x in enumerate(own):
-            if x in seen:
+        for i in range(len(b) - 49):
+            if first[b[i : i + 50]] < key(d):
                 gone[i : i + 50] = b"\1" * 50
-        seen.update(own)
-        out[d] = (len(b), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(bytes(x for x, g in zip(b, gone) if not g)).hexdigest())
-    return out
+        out.append((d, len(b), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(bytes(x for x, g in zip(b, gone) if not g)).hexdigest()))
+    return collections.Counter(out)
+
+
+BYTES = ("n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def test_suffix_dedup(docs, rows, odd, none):
     from terraframe.llm.suffix_dedup import dedup_bytes
 
-    got = by_id(dedup_bytes(docs))
-    assert {d: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for d, r in got.items()} == brute_bytes(rows)
-    r = got[rows[12][0]]
+    found = dedup_bytes(docs)
+    assert fates(found, *BYTES) == brute_bytes(rows)
+    r = by_id(found)[rows[12][0]]
     edges = np.frombuffer(r.spans, "<i8").reshape(-1, 2)
     assert len(r.kept) + int((edges[:, 1] - edges[:, 0]).sum()) == r.n_bytes
-    assert dedup_bytes(odd).count() == odd.count() and dedup_bytes(none).count() == 0
+    assert fates(dedup_bytes(odd, True), *BYTES) == brute_bytes(ODD(rows)) and dedup_bytes(none).count() == 0
+
+
+@pytest.mark.parametrize("hot", [0, 10**9])
+def test_suffix_dedup_small_batches(spark, odd, rows, hot):
+    """Batches smaller than some texts, hot grams cut by longer ones; and with an engine that finds nothing, nothing goes."""
+    from terraframe.llm import suffix_dedup as S
+    from terraframe.llm.repeats import Plan, removed
+
+    schema = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    plan = lambda engine: Plan(False, 50, 20, False, 3000, engine, S._digest, hot)
+    assert fates(removed(odd, plan(S.engine), schema), *BYTES) == brute_bytes(ODD(rows))
+    nothing = lambda contexts, n, place, weight, plan: np.full(n.sum(), np.iinfo(np.int64).max)
+    assert removed(odd, plan(nothing), schema).filter("n_removed > 0").count() == 0
 
 
 def test_suffix_levels():
     from terraframe.llm.suffix_dedup import Family
 
-    r, family, seen = random.Random(1), Family(), {}
-    for doc in range(40):
-        w = np.array([("%04d" % r.randrange(900)).ljust(50).encode() for _ in range(r.randrange(1, 60))], "S50")
-        least = family.add(w, np.full(len(w), doc))
-        assert [int(x) for x in least] == [min(seen.get(x, doc), doc) for x in w]
-        for x in w:
+    r, family, seen = random.Random(1), Family(3), {}
+    for doc in range(60):
+        text = bytes(r.choice(b"ab\0c") for _ in range(r.randrange(3, 60)))
+        at = np.array([i for i in range(len(text) - 2) if r.random() < 0.8] or [0])
+        own = [text[i : i + 3] for i in at]
+        assert family.add(np.frombuffer(text, np.uint8), at, np.full(len(at), doc)).tolist() == [min(seen.get(x, doc), doc) for x in own]
+        for x in own:
             seen.setdefault(x, doc)
-        sizes = [len(x.windows) for x in family.levels]
+        sizes = [len(x.sa) for x in family.levels]
         assert all(a >= 2 * b for a, b in zip(sizes, sizes[1:]))
+        for level in family.levels:
+            suffixes = [level.text.tobytes()[i : i + 3] for i in level.sa]
+            assert suffixes == sorted(set(suffixes)) and [seen[x] for x in suffixes] <= level.least.tolist()
 
 
 def brute_words(rows):
-    first, out, split = {}, {}, {}
-    for d, t in sorted((r[0], r[1] or "") for r in rows):
-        split[d] = w = re.findall(r"[^\x20\x09-\x0D]+", t)
+    """As brute_bytes, but an equal window earlier in the same document counts too."""
+    key = lambda d: 2**63 - 1 if d is None else d
+    first, out = {}, []
+    split = [(d, re.findall(r"[^\x20\x09-\x0D]+", t or "")) for d, t, *_ in rows]
+    for d, w in split:
         for i in range(len(w) - 19):
-            first.setdefault(tuple(w[i : i + 20]), (d, i))
-    for d, w in split.items():
+            x = tuple(w[i : i + 20])
+            first[x] = min(first.get(x, (key(d), i)), (key(d), i))
+    for d, w in split:
         gone = [False] * len(w)
         for i in range(len(w) - 19):
-            if first[tuple(w[i : i + 20])] < (d, i):
+            if first[tuple(w[i : i + 20])] < (key(d), i):
                 gone[i : i + 20] = [True] * 20
-        out[d] = (len(w), sum(gone), hashlib.sha256(" ".join(x for x, g in zip(w, gone) if not g).encode()).hexdigest())
-    return out
+        out.append((d, len(w), sum(gone), hashlib.sha256(" ".join(x for x, g in zip(w, gone) if not g).encode()).hexdigest()))
+    return collections.Counter(out)
+
+
+TOKENS = ("n_words", "n_removed", "kept_sha256")
 
 
 def test_fm_dedup(docs, rows, odd, none):
     from terraframe.llm.fm_dedup import dedup_words
 
-    got = by_id(dedup_words(docs))
-    assert {d: (r.n_words, r.n_removed, r.kept_sha256) for d, r in got.items()} == brute_words(rows)
-    assert dedup_words(odd).count() == odd.count() and dedup_words(none).count() == 0
+    assert fates(dedup_words(docs), *TOKENS) == brute_words(rows)
+    assert fates(dedup_words(odd), *TOKENS) == brute_words(ODD(rows)) and dedup_words(none).count() == 0
+
+
+@pytest.mark.parametrize("hot", [0, 10**9])
+def test_fm_dedup_small_batches(odd, rows, hot):
+    from terraframe.llm import fm_dedup as M
+    from terraframe.llm.repeats import Plan, removed
+
+    schema = "n_words long, n_removed long, kept_sha256 string"
+    plan = lambda engine: Plan(True, 20, 8, True, 3000, engine, M._digest, hot)
+    assert fates(removed(odd, plan(M.engine), schema), *TOKENS) == brute_words(ODD(rows))
+    nothing = lambda contexts, n, place, weight, plan: np.full(n.sum(), np.iinfo(np.int64).max)
+    assert removed(odd, plan(nothing), schema).filter("n_removed > 0").count() == 0
 
 
 def test_fm_index():
@@ -137,7 +187,8 @@ def test_fm_index():
 
     r = np.random.default_rng(3)
     text = np.append(r.integers(1, 6, 700), 0)
-    index = FMIndex(text, 8)
+    weight = np.full(len(text), 1)
+    index = FMIndex(text, weight)
     for k in (1, 3, 6, 8):
         for i in range(0, 600, 37):
             p = text[i : i + k]
@@ -145,7 +196,13 @@ def test_fm_index():
             for c in p[::-1]:
                 lo, hi = index.step(np.array([c]), lo, hi)
             want = sorted(j for j in range(len(text) - k + 1) if (text[j : j + k] == p).all())
-            assert sorted(index.sa[lo[0] : hi[0]].tolist()) == want
+            assert sorted(index.locate(np.arange(lo[0], hi[0])).tolist()) == want
+    ends = np.arange(8, 700, 11)
+    length, lo, hi = index.matching(text, ends, 6)
+    for e, n, a, b in zip(ends.tolist(), length.tolist(), lo.tolist(), hi.tolist()):
+        held = lambda k, e=e: [j for j in range(len(text) - k + 1) if (text[j : j + k] == text[e - k : e]).all()]
+        assert n == max([k for k in range(1, 7) if weight[held(k)].sum() > 1], default=0)
+        assert (b - a) == (len(held(6)) if n == 6 else 0)
 
 
 def brute_near(rows, n):
