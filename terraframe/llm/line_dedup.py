@@ -1,15 +1,19 @@
-"""Line dedup: documents probe a sharded minimal perfect hash of repeated lines.
-
-1. Documents give the 128-bit hashes of their distinct long lines; Spark counts documents a hash (partial sums first).
-2. Hashes that reach the threshold are split into shards of at most SHARD_KEYS keys. Each shard becomes one file in the
-   shared folder: a minimal perfect hash (levels of bit arrays, about 3 bits a key, rank by popcount), with a fingerprint,
-   a count and the largest doc_id at every slot.
-3. Documents are read again and probe the files; shards stay in a cache of CACHE_BYTES. No line is joined or shuffled twice.
-
-Nulls, ties, odd inputs: null text counts as one empty line. Each row counts as one document, even if a doc_id repeats;
-all rows with the largest doc_id holding a line keep it. A null doc_id sorts before all others (only if every holder is null
-do they all keep the line). An empty table gives an empty result. Other columns of docs pass through; of columns named as
-the results are, the results' win.
+"""Line dedup: documents probe a sharded minimal perfect hash of all distinct lines.
+
+1. Documents give the 128-bit hashes of their distinct long lines; Spark counts documents a hash (partial sums first, so that a hot
+   line is one row a task).
+2. All distinct hashes are split into shards of at most SHARD_KEYS keys. Each shard becomes one file in the shared folder: a minimal
+   perfect hash (levels of bit arrays, about 3 bits a key, rank by popcount) with compact arrays by slot: a fingerprint of 16 bits and
+   a count, which stops at the threshold (one byte up to 255). The largest doc_id is kept only for lines whose count reaches the
+   threshold, by rank among them. The arrays decide what is dropped. A line of the documents indexed is always in the hash, so a
+   fingerprint can only ever turn away lines of other documents (find() for a line that isn't indexed errs once in 65,536).
+3. Documents are read again, PROBE_BYTES of text at a time, and their lines probe the files shard by shard, so that a file is read once
+   for that much text; files stay in a cache of CACHE_BYTES. No line is joined or shuffled twice.
+
+Nulls, ties, odd inputs: null text counts as one empty line. A document is a doc_id: several rows of one count once, and all rows with
+the largest doc_id holding a line keep it. Null is a document that sorts before all others (only if every holder is null do they all
+keep the line). An empty table gives an empty result. Other columns of docs pass through; of columns named as the results are, the
+results' win.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from .common import batch, mix, read_file, shared_dir, table, use_repo, write_file
 
 SHARD_KEYS = 100_000
-CACHE_BYTES = 64 << 20
+CACHE_BYTES, PROBE_BYTES = 64 << 20, 16 << 20
 SPACE = b" \t\n\x0b\x0c\r"
 LOWEST = np.iinfo(np.int64).min
 RESULTS = ("n_lines", "n_dropped")
@@ -101,26 +105,24 @@ class PerfectHash:
         return out
 
 
-def _pack(hi: np.ndarray, lo: np.ndarray, count: np.ndarray, last: np.ndarray) -> bytes:
+def _pack(hi: np.ndarray, lo: np.ndarray, count: np.ndarray, last: np.ndarray, least: int) -> bytes:
     ph = PerfectHash.build(hi.view(np.uint64))
     at = ph.slots(hi.view(np.uint64))
-    cols = {"print": np.zeros(len(hi), np.int64), "count": np.zeros(len(hi), np.int64), "last": np.zeros(len(hi), np.int64)}
-    for name, x in (("print", lo), ("count", count), ("last", last)):
-        cols[name][at] = x
-    cols["count"] = cols["count"].clip(max=2**32 - 1).astype(np.uint32)
-    np.savez(out := io.BytesIO(), left=ph.left, **{f"l{i:02}": x for i, x in enumerate(ph.levels)}, **cols)
+    prints, counts, lasts = np.zeros(len(hi), np.uint16), np.zeros(len(hi), np.min_scalar_type(least)), np.zeros(len(hi), np.int64)
+    prints[at], counts[at], lasts[at] = lo.view(np.uint64) >> np.uint64(48), count.clip(max=least), last
+    np.savez(out := io.BytesIO(), left=ph.left, **{f"l{i:02}": x for i, x in enumerate(ph.levels)}, prints=prints, counts=counts, lasts=lasts[counts >= least])
     return out.getvalue()
 
 
-def _build(pdf, folder: str):
+def _build(pdf, folder: str, least: int):
     import pandas as pd
 
-    # two lines with one first half but another second half: as good as impossible, but then the second goes to a list of its own
+    # two lines with one first half but another second half: as good as impossible, but then they go to a list of their own
     pdf = pdf.sort_values(["hi", "lo"])
     twin = pdf["hi"].duplicated(keep=False).to_numpy()
     one, rest = pdf[~twin], pdf[twin]
-    data = _pack(*(one[c].to_numpy(np.int64) for c in ("hi", "lo", "n", "last")))
-    extra = rest[["hi", "lo", "last"]].to_numpy(np.int64).tobytes()
+    data = _pack(*(one[c].to_numpy(np.int64) for c in ("hi", "lo", "n", "last")), least)
+    extra = rest[["hi", "lo", "n", "last"]].to_numpy(np.int64).tobytes()
     shard = int(pdf["shard"].iloc[0])
     write_file(f"{folder}/shards/{shard}.idx", len(data).to_bytes(8, "little") + data + extra)
     return pd.DataFrame({"shard": [shard], "n": [len(pdf)]})
@@ -129,67 +131,81 @@ def _build(pdf, folder: str):
 class Shards:
     """The files of an index, each read when first probed; the least recently used go when CACHE_BYTES are full."""
 
-    def __init__(self, folder: str, n: int):
-        self.folder, self.n, self.kept, self.bytes = folder, n, OrderedDict(), 0
+    def __init__(self, folder: str, n: int, least: int):
+        self.folder, self.n, self.least, self.kept, self.bytes, self.reads = folder, n, least, OrderedDict(), 0, 0
 
     def get(self, shard: int) -> tuple:
         if shard not in self.kept:
             raw = read_file(f"{self.folder}/shards/{shard}.idx")
+            self.reads += 1
             cut = 8 + int.from_bytes(raw[:8], "little")
             z = np.load(io.BytesIO(raw[8:cut]))
             ph = PerfectHash([z[k] for k in sorted(z.files) if k[0] == "l" and k[1:].isdigit()], z["left"])
-            extra = {(a, b): c for a, b, c in np.frombuffer(raw[cut:], np.int64).reshape(-1, 3).tolist()}
-            self.kept[shard] = (ph, z["print"], z["last"], extra, len(raw))
+            extra = {(a, b): (n, c) for a, b, n, c in np.frombuffer(raw[cut:], np.int64).reshape(-1, 4).tolist()}
+            self.kept[shard] = (ph, z["prints"], z["counts"], np.cumsum(z["counts"] >= self.least), z["lasts"], extra, len(raw))
             self.bytes += len(raw)
             while self.bytes > CACHE_BYTES and len(self.kept) > 1:
                 self.bytes -= self.kept.popitem(last=False)[1][-1]
         self.kept.move_to_end(shard)
         return self.kept[shard]
 
-    def last(self, hi: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each hash: is it indexed, and the largest doc_id holding it."""
-        found, last = np.zeros(len(hi), bool), np.zeros(len(hi), np.int64)
+    def find(self, hi: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each hash: does its count reach the threshold, and the largest doc_id holding it if so."""
+        hot, last = np.zeros(len(hi), bool), np.zeros(len(hi), np.int64)
         shard = shard_of(hi, self.n)
         order = np.argsort(shard, kind="stable")
         for rows in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
             if len(rows):
-                ph, prints, lasts, extra, _ = self.get(int(shard[rows[0]]))
+                ph, prints, counts, rank, lasts, extra, _ = self.get(int(shard[rows[0]]))
                 at = ph.slots(hi[rows].view(np.uint64))
                 ok = at >= 0
-                ok[ok] = prints[at[ok]] == lo[rows][ok]
-                found[rows], last[rows[ok]] = ok, lasts[at[ok]]
+                ok[ok] = prints[at[ok]] == lo[rows][ok].view(np.uint64) >> np.uint64(48)
+                ok[ok] = counts[at[ok]] >= self.least
+                hot[rows], last[rows[ok]] = ok, lasts[rank[at[ok]] - 1]
                 for r in rows if extra else ():
                     if (x := extra.get((int(hi[r]), int(lo[r])))) is not None:
-                        found[r], last[r] = True, x
-        return found, last
+                        hot[r], last[r] = x[0] >= self.least, x[1]
+        return hot, last
 
 
 def shard_of(hi: np.ndarray, n: int) -> np.ndarray:
     return (hi & np.int64(2**40 - 1)) % n
 
 
-def _probe(it: Iterator[pa.RecordBatch], schema: pa.Schema, folder: str, n_shards: int, min_chars: int, sha: bool) -> Iterator[pa.RecordBatch]:
-    shards = Shards(folder, n_shards)
+def buffered(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches put together to PROBE_BYTES."""
+    own, size = [], 0
     for b in it:
+        own.append(b)
+        size += b.nbytes
+        if size >= PROBE_BYTES:
+            yield pa.concat_batches(own)
+            own, size = [], 0
+    if own:
+        yield pa.concat_batches(own)
+
+
+def _probe(it: Iterator[pa.RecordBatch], schema: pa.Schema, folder: str, n_shards: int, min_chars: int, least: int, sha: bool) -> Iterator[pa.RecordBatch]:
+    shards = Shards(folder, n_shards, least)
+    for b in buffered(it):
         docs = b.column("doc_id").cast(pa.int64()).fill_null(LOWEST).to_pylist()
-        lines, where, digests = [], [], bytearray()
-        for i, text in enumerate(b.column("text").to_pylist()):
-            own = (text or "").encode().split(b"\n")
-            lines.append(own)
-            for j, x in enumerate(own) if n_shards else ():
+        where, digests = [], bytearray()
+        texts = [(t or "").encode() for t in b.column("text").to_pylist()]
+        for i, text in enumerate(texts) if n_shards else ():
+            for j, x in enumerate(text.split(b"\n")):
                 if (k := key_of(x, min_chars)) is not None:
                     where.append((i, j))
                     digests += xxhash.xxh3_128_digest(k)
         h = np.frombuffer(bytes(digests), ">i8").astype(np.int64).reshape(-1, 2)
         dropped: dict[int, set[int]] = {}
         if len(h):
-            found, last = shards.last(np.ascontiguousarray(h[:, 0]), np.ascontiguousarray(h[:, 1]))
-            for r in np.flatnonzero(found).tolist():
+            hot, last = shards.find(np.ascontiguousarray(h[:, 0]), np.ascontiguousarray(h[:, 1]))
+            for r in np.flatnonzero(hot).tolist():
                 i, j = where[r]
                 if docs[i] != last[r]:
                     dropped.setdefault(i, set()).add(j)
-        kept = [b"\n".join(x for j, x in enumerate(own) if j not in gone) if (gone := dropped.get(i)) else b"\n".join(own) for i, own in enumerate(lines)]
-        new = {"n_lines": [len(x) for x in lines], "n_dropped": [len(dropped.get(i, ())) for i in range(len(lines))]}
+        kept = [b"\n".join(x for j, x in enumerate(text.split(b"\n")) if j not in gone) if (gone := dropped.get(i)) else text for i, text in enumerate(texts)]
+        new = {"n_lines": [x.count(b"\n") + 1 for x in texts], "n_dropped": [len(dropped.get(i, ())) for i in range(len(texts))]}
         if sha:
             new["kept_sha256"] = [hashlib.sha256(x).hexdigest() for x in kept]
         else:
@@ -205,11 +221,11 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, digest_
     folder = shared_dir(spark)
     source = docs.select("doc_id", "text")
     keys = source.mapInArrow(lambda it: _keys(it, min_chars), "hi long, lo long, doc_id long")
-    counted = table(keys.groupBy("hi", "lo").agg(F.count("*").alias("n"), F.max("doc_id").alias("last")).filter(F.col("n") >= min_docs), "repeated", folder)
+    counted = table(keys.groupBy("hi", "lo").agg(F.countDistinct("doc_id").alias("n"), F.max("doc_id").alias("last")), "counted", folder)
     n_shards = -(-counted.count() // SHARD_KEYS)
     if n_shards:
         shard = (F.col("hi").bitwiseAND(F.lit(2**40 - 1)) % n_shards).cast("int")
-        built = counted.withColumn("shard", shard).groupBy("shard").applyInPandas(lambda pdf: _build(pdf, folder), "shard int, n long")
+        built = counted.withColumn("shard", shard).groupBy("shard").applyInPandas(lambda pdf: _build(pdf, folder, min_docs), "shard int, n long")
         table(built, "built", folder)
     if digest_only:
         base = source
@@ -220,4 +236,4 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, digest_
     fields += [T.StructField(c, T.LongType()) for c in RESULTS] + [T.StructField("kept_sha256", T.StringType())] * digest_only
     schema = T.StructType(fields)
     arrow = to_arrow_schema(schema)
-    return base.mapInArrow(lambda it: _probe(it, arrow, folder, n_shards, min_chars, digest_only), schema)
+    return base.mapInArrow(lambda it: _probe(it, arrow, folder, n_shards, min_chars, min_docs, digest_only), schema)

@@ -341,24 +341,66 @@ def test_zip(zip64):
             bad()
 
 
-def test_line_dedup(docs, rows, odd, none):
-    from terraframe.llm.line_dedup import PerfectHash, dedup_lines
+def strip_line(x):
+    return x.strip(" \t\n\x0b\x0c\r").translate({c: c + 32 for c in range(65, 91)})
 
-    strip = lambda x: x.strip(" \t\n\x0b\x0c\r").translate({c: c + 32 for c in range(65, 91)})
+
+def brute_lines(rows):
+    """(doc_id, text, lines, dropped lines) of each row; a null doc_id is a document that sorts before all others."""
     held = collections.defaultdict(set)
+    key = lambda d: -(2**63) if d is None else d
     for d, t, *_ in rows:
         for x in (t or "").split("\n"):
-            held[strip(x)].add(d)
+            held[strip_line(x)].add(key(d))
     hot = {k: max(v) for k, v in held.items() if len(k) >= 40 and len(v) >= 5}
-    assert hot
-    got = by_id(dedup_lines(docs))
+    out = []
     for d, t, *_ in rows:
         x = (t or "").split("\n")
-        stay = [y for y in x if hot.get(strip(y), d) == d]
-        assert (got[d].text, got[d].n_lines, got[d].n_dropped) == ("\n".join(stay), len(x), len(x) - len(stay))
-    assert dedup_lines(odd).count() == odd.count() and dedup_lines(none).count() == 0
+        stay = [y for y in x if hot.get(strip_line(y), key(d)) == key(d)]
+        out.append((d, "\n".join(stay), len(x), len(x) - len(stay)))
+    return collections.Counter(out)
+
+
+def test_line_dedup(spark, docs, rows, odd, none, monkeypatch):
+    from terraframe.llm import line_dedup as L
+
+    names = ("text", "n_lines", "n_dropped")
+    want = brute_lines(rows)
+    assert any(n for *_, n in want) and fates(L.dedup_lines(docs), *names) == want
+    assert fates(L.dedup_lines(odd), *names) == brute_lines(ODD(rows)) and L.dedup_lines(none).count() == 0
+    # rows of one document count once
+    line = "a line of more than forty characters that three documents hold"
+    few = [(1, line)] * 3 + [(2, line), (3, f"x\n{line.upper()}  ")]
+    many = few + [(k, line) for k in (4, 9, 9)] + [(None, line)]
+    for own in (few, many):
+        assert fates(L.dedup_lines(spark.createDataFrame(own, "doc_id long, text string")), *names) == brute_lines(own)
+    monkeypatch.setattr(L, "SHARD_KEYS", 20)
+    monkeypatch.setattr(L, "CACHE_BYTES", 1)
+    assert fates(L.dedup_lines(docs), *names) == want
     k = np.random.default_rng(1).integers(0, 2**63, 5000, dtype=np.uint64)
-    assert sorted(PerfectHash.build(k).slots(k).tolist()) == [*range(5000)]
+    assert sorted(L.PerfectHash.build(k).slots(k).tolist()) == [*range(5000)]
+
+
+def test_line_index_larger_than_its_cache(tmp_path, monkeypatch):
+    import pandas as pd
+    import pyarrow as pa
+
+    from terraframe.llm import line_dedup as L
+
+    r = np.random.default_rng(7)
+    hi, lo, n, last = (r.integers(-(2**62), 2**62, 4000) for _ in range(4))
+    n = np.abs(n) % 9 + 1
+    every = pd.DataFrame({"hi": hi, "lo": lo, "n": n, "last": last, "shard": L.shard_of(hi, 20)})
+    for _, own in every.groupby("shard"):
+        L._build(own, f"file://{tmp_path}", 5)
+    monkeypatch.setattr(L, "CACHE_BYTES", 1)
+    shards = L.Shards(f"file://{tmp_path}", 20, 5)
+    hot, found = shards.find(hi, lo)
+    assert (hot == (n >= 5)).all() and (found[hot] == last[hot]).all() and shards.reads == 20  # each file once a buffer
+    assert shards.find(hi, lo + (1 << 50))[0].sum() == 0
+    b = pa.record_batch({"x": ["y" * 1000] * 10})
+    monkeypatch.setattr(L, "PROBE_BYTES", 3 * b.nbytes)
+    assert [x.num_rows for x in L.buffered(iter([b] * 7))] == [30, 30, 10]
 
 
 def test_decontaminate(spark, docs, rows, odd, none, monkeypatch):
