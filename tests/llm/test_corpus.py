@@ -403,50 +403,70 @@ def test_line_index_larger_than_its_cache(tmp_path, monkeypatch):
     assert [x.num_rows for x in L.buffered(iter([b] * 7))] == [30, 30, 10]
 
 
-def test_decontaminate(spark, docs, rows, odd, none, monkeypatch):
-    from terraframe.llm import decontaminate as D
-
-    t = texts()
-    items = [(1, " ".join(t[14].split()[5:30])), (2, "  TWO, words! "), (3, None), (4, "..."), (10, t[13]), (10, "word"), (None, "alpha")]
-    bench = spark.createDataFrame(items, "item_id long, text string")
+def brute_benchmark(rows, items):
     norm = lambda x: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (x or "").translate({c: c + 32 for c in range(65, 91)}))
-    want = {}
+    out = []
     for d, x, *_ in rows:
         w, hit, found = norm(x), set(), set()
         for i, y in items:
             v = norm(y)
             n = min(8, len(v))
-            for k in range(len(v) - n + 1) if v and i is not None else ():
+            for k in range(len(v) - n + 1) if v else ():
                 for p in range(len(w) - n + 1):
                     if w[p : p + n] == v[k : k + n]:
                         hit |= set(range(p, p + n))
-                        found.add(str(i))
-        want[d] = (len(w), len(hit), sorted(found))
-    for most in (D.BLOCK_BYTES, 300):  # one automaton, and several in turn
-        monkeypatch.setattr(D, "BLOCK_BYTES", most)
-        got = by_id(D.find_benchmark(docs, bench))
-        assert {d: (r.n_words, r.n_hit, r["items"]) for d, r in got.items()} == want
-    r = got[rows[14][0]]
+                        found |= {str(i)} - {"None"}
+        out.append((d, len(w), len(hit), ",".join(sorted(found))))
+    return collections.Counter(out)
+
+
+def benchmark_fates(frame):
+    return collections.Counter((r.doc_id, r.n_words, r.n_hit, ",".join(r["items"])) for r in frame.collect())
+
+
+def test_decontaminate(spark, docs, rows, odd, none):
+    from terraframe.llm import decontaminate as D
+
+    t = texts()
+    items = [(1, " ".join(t[14].split()[5:30])), (2, "  TWO, words! "), (3, None), (4, "..."), (10, t[13]), (10, "word"), (None, "alpha")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = D.find_benchmark(docs, bench)
+    assert benchmark_fates(found) == brute_benchmark(rows, items)
+    r = by_id(found)[rows[14][0]]
+    norm = lambda x: re.findall(r"[a-z0-9]+", x.lower())
     assert norm(t[14][r.spans[0].start : r.spans[0].end]) == norm(items[0][1])
-    assert D.find_benchmark(odd, bench).count() == odd.count() and D.find_benchmark(none, bench).count() == 0
+    assert benchmark_fates(D.find_benchmark(odd, bench)) == brute_benchmark(ODD(rows), items) and D.find_benchmark(none, bench).count() == 0
     assert D.find_benchmark(docs, bench.filter("false")).filter("n_hit > 0").count() == 0
+    with pytest.raises(ValueError, match="max_windows"):
+        D.find_benchmark(docs, bench, max_windows=20)
+
+
+def test_many_words_are_spelt_apart():
+    from terraframe.llm.decontaminate import Patterns
 
+    r = random.Random(6)
+    words = [f"w{i}é" for i in range(5000)]  # three letters a word
+    item = [r.choice(words) for _ in range(5000)]
+    p = Patterns.of([(" ".join(item[i : i + 8]), str(i // 50)) for i in range(len(item) - 7)] + [(" ".join(words[i : i + 8]), None) for i in range(0, 4992, 8)])
+    assert p.width == 3
+    for _ in range(50):
+        i = r.randrange(4900)
+        n, runs, found, longest = p.hits(" ".join(["x", words[3], *item[i : i + 11], "y z", *item[i + 20 : i + 27]]))
+        assert (n, runs, found, longest) == (22, [(2, 13)], {str(k // 50) for k in range(i, i + 4)}, 8)
 
-def test_decontaminate_items_without_id(spark, monkeypatch):
+
+def test_decontaminate_items_without_id(spark):
     from terraframe.llm import decontaminate as D
 
     item = "one two three four five six seven eight nine"
     bench = spark.createDataFrame([(None, item), (None, "tiny"), (7, "six seven eight nine ten eleven twelve thirteen")], "item_id long, text string")
     docs = spark.createDataFrame([(1, f"x {item} y"), (2, "x Tiny"), (3, "x y")], "doc_id long, text string")
-    for most in (D.BLOCK_BYTES, 30):
-        monkeypatch.setattr(D, "BLOCK_BYTES", most)
-        got = by_id(D.find_benchmark(docs, bench))
-        assert {d: (r.n_hit, r["items"], [tuple(s) for s in r.spans]) for d, r in got.items()} == {1: (9, [], [(2, 2 + len(item))]), 2: (1, [], [(2, 6)]), 3: (0, [], [])}
+    got = by_id(D.find_benchmark(docs, bench))
+    assert {d: (r.n_hit, r["items"], [tuple(s) for s in r.spans]) for d, r in got.items()} == {1: (9, [], [(2, 2 + len(item))]), 2: (1, [], [(2, 6)]), 3: (0, [], [])}
 
 
-def test_pipeline_rejects_short_items(spark, tmp_path, monkeypatch):
+def test_pipeline_rejects_short_items(spark, tmp_path):
     import corpus_pipeline as P
-    from terraframe.llm import decontaminate as D
 
     items = [(1, "what is the capital of zembla"), (2, "onhava"), (3, "b c d"), (4, "d e f"), (5, "f g h i"), (None, "p q r s t u v w x")]
     spark.createDataFrame(items, "item_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
@@ -454,9 +474,7 @@ def test_pipeline_rejects_short_items(spark, tmp_path, monkeypatch):
     bad = [prose + "What is the capital of Zembla? " + prose, "Onhava.", prose + "q r s t u v w x", prose + "f g h i"]
     good = [prose + "onhava " + prose, prose + "what is the capital of France", prose + "a b c d e f g z", prose, "", None]
     docs = spark.createDataFrame([*enumerate(good + bad)], "doc_id long, text string")
-    for most in (D.BLOCK_BYTES, 20):
-        monkeypatch.setattr(D, "BLOCK_BYTES", most)
-        assert sorted(r.doc_id for r in P.decontaminate(spark, docs, str(tmp_path)).collect()) == [*range(len(good))]
+    assert sorted(r.doc_id for r in P.decontaminate(spark, docs, str(tmp_path)).collect()) == [*range(len(good))]
 
 
 def test_packing(docs, odd, none):
