@@ -10,15 +10,18 @@ other hashes, until none is empty; for every bucket the first round in which eit
 compare, so equal registers keep the Jaccard similarity as their probability, at any set size.
 
 Candidates: BANDS bands of ROWS registers. Within a bucket of a band, each member is paired with the bucket's smallest id only, never
-with all others. Pairs are first held against the sketches: the share of equal registers, corrected for chance collisions of
-compressed values, estimates the similarity; pairs more than MARGIN below the threshold are dropped (over six standard errors). The
-rest are verified on the full sets. Then components are taken, and only buckets whose members lie in several components get further
-pairs, between members of different components. A pair at similarity 0.8 shares no bucket with a chance of about 2e-9.
+with all others. Pairs are first held against the sketches: the share of equal registers, corrected for the chance that compressed
+values of sets of these two sizes collide, estimates the similarity; pairs more than MARGIN below the threshold are dropped (over six
+standard errors). The rest are verified on the full sets. Then components are taken, and only buckets whose members lie in several
+components go on: their sketches, in blocks of about BLOCK members, are compared where they lie, those outside of a bucket's largest
+component with the others, and only pairs that the estimate lets through leave the task. A pair at similarity 0.8 shares no bucket with
+a chance of about 2e-9.
 
 Components: repeated star contraction over verified links, as tables, written to the shared folder each round.
 
-Hot buckets: pairs are linear in a bucket's size; joins by band key or leader are left to adaptive skew splitting. Texts are joined
-only for documents in pairs left to verify.
+Hot buckets: pairs are linear in a bucket's size; blocks of a mixed bucket of n members, m of them outside of its largest component,
+are 2 n m / BLOCK rows, at most 2 n where m is below BLOCK. Joins by band key or leader are left to adaptive skew splitting. Texts are
+joined only for documents in pairs left to verify.
 
 Nulls and odd inputs: null or empty text and text without words has an empty set and is linked with nothing. With fewer words than a
 shingle takes, the whole sequence is one shingle. A null doc_id is never linked and is its own class (component_id null, kept true).
@@ -40,8 +43,7 @@ from pyspark.sql import functions as F
 from .common import LOWER, WordHash, mix, shared_dir, table, use_repo
 
 REGISTERS, BANDS, ROWS, MANTISSA = 256, 51, 5, 10
-MARGIN = 0.17
-COLLISION = 2.0**-MANTISSA  # chance that two different minima have one compressed value, at most
+MARGIN, BLOCK, ROUNDS = 0.17, 1000, 100
 THRESHOLD = (80, 100)
 
 
@@ -88,10 +90,30 @@ def bands(registers: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Jaccard similarity of sketches, row by row, corrected for chance collisions."""
-    same = (a == b).mean(axis=-1)
-    return np.maximum((same - COLLISION) / (1 - COLLISION), 0)
+def _chance() -> np.ndarray:
+    """[i, j]: the chance that the minima of 2**(i / 2) and of 2**(j / 2) other values have one compressed value: the sum over all
+    compressed values of the chances of either minimum to lie there."""
+    width = 2.0 ** -np.arange(1, 40)[:, None]
+    edges = np.append((width * (1 + np.arange(2**MANTISSA) / 2**MANTISSA)).ravel(), 0.0)
+    edges[::-1].sort()
+    edges = np.append(1.0, edges)
+    held = np.diff(-np.exp(np.sqrt(2.0) ** np.arange(49)[:, None] * np.log1p(-np.minimum(edges, 1 - 1e-15))), axis=1)  # P(min <= x) falls with x
+    return np.abs(held) @ np.abs(held).T
+
+
+CHANCE = _chance()
+
+
+def collision(n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """The chance that a register of two disjoint sets of n and m shingles is equal."""
+    i, j = (np.clip(np.rint(2 * np.log2(np.maximum(np.asarray(x) / REGISTERS, 1))), 0, 48).astype(np.int64) for x in (n, m))
+    return CHANCE[i, j]
+
+
+def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Jaccard similarity of sketches of sets of n and m shingles, row by row, corrected for chance collisions."""
+    same, chance = (a == b).mean(axis=-1), collision(n, m)
+    return np.maximum((same - chance) / (1 - chance), 0)
 
 
 def _classify(it: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
@@ -118,14 +140,50 @@ def _banded(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _likely(it: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b, sketch of a, sketch of b) whose estimate is at least least, with it."""
+    """Pairs (a, b, sketch of a, sketch of b, sizes) whose estimate is at least least, with it."""
     for t in it:
         x, y = (np.frombuffer(b"".join(t.column(i).to_pylist()), np.uint16).reshape(-1, REGISTERS) for i in (2, 3))
-        e = estimate(x, y)
+        e = estimate(x, y, t.column(4).to_numpy(), t.column(5).to_numpy())
         keep = pa.array(e >= least)
         yield pa.RecordBatch.from_arrays([t.column(0).filter(keep), t.column(1).filter(keep), pa.array(e).filter(keep)], names=["a", "b", "estimate"])
 
 
+def _across(it: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """Likely pairs of different components in blocks (rows sorted by key, q, r, minor): the minor ones' sketches with the others'."""
+
+    def block(t: pa.Table) -> list[np.ndarray]:
+        minor = t["minor"].to_numpy().astype(bool)
+        ids, c, n = (t[x].to_numpy() for x in ("id", "c", "n"))
+        sketches = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint16).reshape(-1, REGISTERS)
+        others, out = np.flatnonzero(~minor), []
+        for i in np.flatnonzero(minor).tolist():
+            j = others[c[others] != c[i]]
+            e = estimate(sketches[i], sketches[j], n[i], n[j])
+            keep = j[e >= least]
+            out.append(np.stack([np.maximum(ids[keep], ids[i]), np.minimum(ids[keep], ids[i])]))
+        return out
+
+    def pairs(t: pa.Table) -> pa.RecordBatch:
+        k = np.stack([t[x].to_numpy() for x in ("key", "q", "r")])
+        cut = np.flatnonzero((k[:, 1:] != k[:, :-1]).any(axis=0)) + 1
+        found = [x for a, b in zip([0, *cut.tolist()], [*cut.tolist(), t.num_rows]) for x in block(t.slice(a, b - a))]
+        a, b = np.concatenate(found, axis=1) if found else np.empty((2, 0), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    rest: pa.Table | None = None
+    for t in it:
+        t = pa.Table.from_batches([t])
+        t = t if rest is None else pa.concat_tables([rest, t])
+        last = [t[x][-1] for x in ("key", "q", "r")]
+        k = np.stack([t[x].to_numpy() == v.as_py() for x, v in zip(("key", "q", "r"), last)]).all(axis=0)
+        begin = t.num_rows - int(np.argmin(k[::-1])) if not k.all() else 0  # the last block may go on
+        rest = t.slice(begin)
+        if begin:
+            yield pairs(t.slice(0, begin))
+    if rest is not None and rest.num_rows:
+        yield pairs(rest)
+
+
 def _verify(it: Iterator[pa.RecordBatch], size: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
     hashes, last, own = WordHash(), None, None
     for t in it:
@@ -139,11 +197,17 @@ def _verify(it: Iterator[pa.RecordBatch], size: int, num: int, den: int) -> Iter
         yield pa.RecordBatch.from_arrays([t.column(0).filter(pa.array(keep, pa.bool_())), t.column(1).filter(pa.array(keep, pa.bool_()))], names=["a", "b"])
 
 
+def _print(edges: DataFrame) -> tuple:
+    """Equal for equal sets of edges."""
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+
 def _components(links: DataFrame, folder: str, name: str) -> DataFrame:
     """(id, component): the smallest id that links (a, b) reach, of every id in links. Each round gives every node's neighbours the
     smallest of them (small star), then larger neighbours the smallest one (large star), until nothing changes."""
     edges = table(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), f"{name}0", folder)
-    for k in range(1, 100):
+    known = _print(edges)
+    for k in range(1, ROUNDS):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m"))
         large = both.join(low, both["a"] == low["n"]).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -152,10 +216,12 @@ def _components(links: DataFrame, folder: str, name: str) -> DataFrame:
         joined = large.join(least, large["a"] == least["n"])
         small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(joined.select("a", F.col("m").alias("b")))
         new = table(small.filter("a <> b").distinct(), f"{name}{k}s", folder)
-        stat = lambda d: d.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if stat(new) == stat(edges):
+        print_ = _print(new)
+        if print_ == known:
             break
-        edges = new
+        edges, known = new, print_
+    else:
+        raise RuntimeError(f"components haven't settled after {ROUNDS} rounds")
     return new.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "id")
 
 
@@ -173,17 +239,32 @@ def _linked(docs: DataFrame, size: int, threshold: tuple[int, int]) -> DataFrame
     repeated = rows.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count() > 0
     classes = table(classes.withColumn("id", F.monotonically_increasing_id()), "classes", folder) if repeated else classes.withColumn("id", F.col("rep"))
     rep = live.join(classes, ["hi", "lo"]).filter("doc_id = rep").dropDuplicates(["id"])
-    sketches = table(rep.select("id", "sketch"), "reps", folder)
+    sketches = table(rep.select("id", "sketch", F.col("n_shingles").alias("n")), "reps", folder)
 
-    banded = sketches.mapInArrow(_banded, "key long, id long")
+    banded = sketches.select("id", "sketch").mapInArrow(_banded, "key long, id long")
     # members of buckets that hold several, each with the bucket's smallest id
     leaders = banded.groupBy("key").agg(F.min("id").alias("lead"), F.count("*").alias("n")).filter("n > 1").drop("n")
     members = table(banded.join(leaders, "key"), "members", folder)
 
-    def likely(pairs: DataFrame, name: str) -> DataFrame:
-        a, b = (sketches.select(F.col("id").alias(x), F.col("sketch").alias(f"s{x}")) for x in "ab")
-        near = pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb")
-        return table(near.mapInArrow(lambda it: _likely(it, num / den - MARGIN), "a long, b long, estimate double"), name, folder)
+    least = num / den - MARGIN
+
+    def likely(pairs: DataFrame) -> DataFrame:
+        a, b = (sketches.select(F.col("id").alias(x), F.col("sketch").alias(f"s{x}"), F.col("n").alias(f"n{x}")) for x in "ab")
+        near = pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb", "na", "nb")
+        return table(near.mapInArrow(lambda it: _likely(it, least), "a long, b long, estimate double"), "likely1", folder)
+
+    def across(members: DataFrame) -> DataFrame:
+        """Likely pairs of members (key, id, c) of one bucket whose components c differ."""
+        sizes = members.groupBy("key", "c").count().groupBy("key").agg(F.sum("count").alias("all"), F.max("count").alias("most"), F.max_by("c", F.struct("count", "c")).alias("major"))
+        sizes = sizes.select("key", "major", F.ceil(F.col("all") / BLOCK).cast("int").alias("rs"), F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int").alias("qs"))
+        m = members.join(sizes, "key").join(sketches, "id")
+        part = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        columns = ["id", "c", "n", "sketch"]
+        one = m.select("key", every("qs").alias("q"), part("rs").alias("r"), F.lit(0).alias("minor"), *columns)
+        two = m.filter("c <> major").select("key", part("qs").alias("q"), every("rs").alias("r"), F.lit(1).alias("minor"), *columns)
+        blocks = one.unionByName(two).repartition("key", "q", "r").sortWithinPartitions("key", "q", "r", "minor")
+        return table(blocks.mapInArrow(lambda it: _across(it, least), "a long, b long").distinct(), "likely2", folder)
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         asked = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
@@ -198,7 +279,7 @@ def _linked(docs: DataFrame, size: int, threshold: tuple[int, int]) -> DataFrame
         both = pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "ta", "tb")
         return table(both.mapInArrow(lambda it: _verify(it, size, num, den), "a long, b long"), name, folder)
 
-    pairs = likely(members.filter("id <> lead").select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct(), "likely1")
+    pairs = likely(members.filter("id <> lead").select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct())
     # one link a member is enough to begin with: the likeliest; others only where components still differ
     best = pairs.groupBy("a").agg(F.max_by("b", F.struct("estimate", -F.col("b"))).alias("b"))
     links = verified(best, "links1")
@@ -206,10 +287,7 @@ def _linked(docs: DataFrame, size: int, threshold: tuple[int, int]) -> DataFrame
     named = members.join(part, "id", "left").select("key", "id", "lead", F.coalesce("component", "id").alias("c"))
     mixed = named.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 <> c1").select("key")
     left = table(named.join(mixed, "key").select("key", "id", "c"), "mixed", folder)
-    x, y = left.select("key", F.col("id").alias("a"), F.col("c").alias("ca")), left.select("key", F.col("id").alias("b"), F.col("c").alias("cb"))
-    cross = x.join(y, "key").filter("ca > cb").select("a", "b").distinct()
-    more = likely(cross, "likely2")
-    links = links.unionByName(verified(more.join(best, ["a", "b"], "left_anti"), "links2"))
+    links = links.unionByName(verified(across(left).join(best, ["a", "b"], "left_anti"), "links2"))
     part = table(_components(links, folder, "cc2-"), "part2", folder)
     if repeated:  # components are named by numbers of classes; each takes the smallest doc_id of its classes
         of = part.select("id", "component").union(part.select("component", "component").distinct())

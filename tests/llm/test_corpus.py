@@ -222,6 +222,20 @@ def brute_near(rows, n):
     return {d: (len(sets[d]), reach[d], reach[d] == d) for d in ids}
 
 
+def brute_near_rows(rows, n):
+    """For tables with repeated ids: each row by its own text; rows with a null id stand alone."""
+    w = [[re.sub("[A-Z]+", lambda m: m[0].lower(), x) for x in re.findall(r"[^\x20\x09-\x0D]+", r[1] or "")] for r in rows]
+    sets = [{tuple(x[i : i + n]) for i in range(max(1, len(x) - n + 1))} if x else set() for x in w]
+    ids = [r[0] for r in rows]
+    reach = [*ids]
+    live = [i for i, d in enumerate(ids) if d is not None and sets[i]]
+    links = [(i, j) for i in live for j in live if i < j and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    for _ in rows:
+        for i, j in links:
+            reach[i] = reach[j] = min(reach[i], reach[j])
+    return collections.Counter((d, len(s), c, d is None or d == c) for d, s, c in zip(ids, sets, reach))
+
+
 @pytest.mark.parametrize("size", [2, 5])
 def test_near_dedup(spark, docs, rows, size):
     from terraframe.llm.near_dedup import link_components
@@ -237,10 +251,11 @@ def test_near_dedup(spark, docs, rows, size):
     assert {d: (x.n_shingles, x.component_id, x.kept) for d, x in got.items()} == brute_near(every, size)
 
 
-def test_near_dedup_odd(odd, none):
+def test_near_dedup_odd(odd, rows, none):
     from terraframe.llm.near_dedup import link_components, near_dedup
 
-    assert link_components(odd).count() == odd.count() and link_components(none).count() == 0
+    want = brute_near_rows(ODD(rows), 5)
+    assert fates(link_components(odd), "n_shingles", "component_id", "kept") == want and link_components(none).count() == 0
     assert near_dedup(odd).columns == odd.columns and near_dedup(none).count() == 0
 
 
@@ -270,7 +285,45 @@ def test_sketch_estimates():
             k = round(share * n)
             a, b = np.sort(np.concatenate([x[:k], x[k : n]])), np.sort(np.concatenate([x[:k], x[n : 2 * n - k]]))
             true = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
-            assert abs(float(estimate(sketch(a)[None], sketch(b)[None])[0]) - true) < 0.17
+            assert abs(float(estimate(sketch(a)[None], sketch(b)[None], len(a), len(b))[0]) - true) < 0.17
+
+
+def test_chance_collisions_depend_on_sizes():
+    from terraframe.llm.near_dedup import REGISTERS, collision, sketch
+
+    r = np.random.default_rng(5)
+    own = lambda n: sketch(r.integers(0, 2**63, n, dtype=np.uint64))
+    for n, m in ((2000, 2000), (2000, 60_000), (300, 300)):
+        seen = np.mean([(own(n) == own(m)).mean() for _ in range(120)])
+        want = float(collision(n, m))
+        assert abs(seen - want) < 4 * (want / (120 * REGISTERS)) ** 0.5 + 1e-4, (n, m, seen, want)
+    assert collision(2000, 60_000) < collision(2000, 2000) / 3
+
+
+def test_near_dedup_template_family(spark, monkeypatch):
+    """Texts of one template share buckets, but few are links; and a block never holds a whole bucket here."""
+    from terraframe.llm import near_dedup as N
+
+    monkeypatch.setattr(N, "BLOCK", 5)
+    r = random.Random(12)
+    template = [f"t{i}" for i in range(80)]
+    rows = []
+    for k in range(60):
+        rows.append((1000 - k, " ".join(template + [f"own{k // 2 if k < 20 else k}w{i}" for i in range(36)] + [f"last{k}"])))
+    r.shuffle(rows)
+    got = by_id(N.link_components(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert {d: (x.n_shingles, x.component_id, x.kept) for d, x in got.items()} == brute_near(rows, 5)
+    assert sum(not x.kept for x in got.values()) == 10
+
+
+def test_components_that_do_not_settle_are_an_error(spark, tmp_path, monkeypatch):
+    from terraframe.llm import near_dedup as N
+
+    links = spark.createDataFrame([(i + 1, i) for i in range(40)], "a long, b long")
+    assert {(x.id, x.component) for x in N._components(links, f"file://{tmp_path}/a", "c").collect()} == {(i, 0) for i in range(1, 41)}
+    monkeypatch.setattr(N, "ROUNDS", 2)
+    with pytest.raises(RuntimeError, match="settled"):
+        N._components(links, f"file://{tmp_path}/b", "c")
 
 
 def test_warc(spark):
