@@ -24,8 +24,9 @@ WINDOW, SHORT = 8, 4
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and whose histograms are near their language's."""
-    own = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text", *["lang"] * ("lang" in docs.columns))
-    return judge(own).filter("kept").select("row.*")
+    others = [c for c in docs.columns if c != "text"]
+    own = docs.select(F.struct(*others).alias("row"), "doc_id", "text", *["lang"] * ("lang" in docs.columns))
+    return judge(own).filter("kept").select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,10 +45,12 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of eight words of an item, nor an item of four to seven words whole. A still shorter item turns up
     in clean documents by chance, so it only rejects one of whose words it makes up at least half."""
-    own = docs.select("doc_id", "text", F.struct(*docs.columns).alias("row"))
+    others = [c for c in docs.columns if c != "text"]
+    own = docs.select("doc_id", "text", F.struct(*others).alias("row"))
     found = find_benchmark(own, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), WINDOW, with_spans=False, longest=True)
     n = F.col("longest")
-    return found.filter((n < SHORT) & ((n == 0) | (2 * n < F.col("n_words")))).select("row.*")
+    clean = found.filter((n < SHORT) & ((n == 0) | (2 * n < F.col("n_words"))))
+    return clean.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """Quality rules by distribution divergence, in DataFrame functions only.
 
 Each document gives two histograms: character classes (lower-case ASCII letters, upper-case ones, digits, blanks, line ends,
-other ASCII, everything beyond ASCII) and common words (the function words of its language, and all other words as one bin).
+other ASCII, everything beyond ASCII) and common words (the function words of its language, in either case, and all other words as one
+bin).
 References are the mean histograms of all documents of a language, over the whole table. A document is rejected when the
 Jensen-Shannon distance (square root of the divergence in bits) to its language's reference is above a threshold in either
 histogram. Guards: below MIN_CHARS characters or MIN_WORDS words the histogram says too little and isn't judged.
@@ -73,7 +74,7 @@ def features(docs: DataFrame) -> DataFrame:
     lang = F.lower(F.coalesce("lang", F.lit(""))) if "lang" in docs.columns else F.lit("")
     d = d.withColumn("__lang", F.when(lang.isin(*COMMON), lang).otherwise("other"))
     every = sorted({w for x in COMMON.values() for w in x.split()})
-    d = d.withColumn("__k", F.filter("__w", lambda w: w.isin(every)))
+    d = d.withColumn("__k", F.filter(F.transform("__w", lambda w: F.lower(w)), lambda w: w.isin(every)))
     own = F.array().cast("array<string>")
     for code, words in COMMON.items():
         own = F.when(F.col("__lang") == code, F.array(*[F.lit(w) for w in words.split()])).otherwise(own)
