@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -74,6 +75,24 @@ def ids(column: pa.Array) -> np.ndarray:
     return column.cast(pa.int64()).fill_null(NULL_ID).to_numpy(zero_copy_only=False)
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: workers outlive their tasks, and an executor's other tasks need it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def slices(it: Iterable[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Batches of at most so many rows, so that the Python objects made of one are few."""
+    try:
+        for b in it:
+            for k in range(0, b.num_rows, rows):
+                yield b.slice(k, rows)
+    finally:
+        give_back()
+
+
 class WordHash(dict):
     """64-bit hashes of words, kept for the words seen most recently; its size is bounded."""
 

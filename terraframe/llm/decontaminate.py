@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import LOWER, fs_of, shared_dir, table, use_repo
+from .common import LOWER, fs_of, shared_dir, slices, table, use_repo
 
 MAX_WINDOWS = 200_000
 _FIRST, _REST = [[chr(c) for c in range(c, c + 64)] for c in (128, 192)]
@@ -126,7 +126,7 @@ def offsets(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def _scan(it: Iterator[pa.RecordBatch], schema: pa.Schema, uri: str, with_spans: bool, runs_only: bool) -> Iterator[pa.RecordBatch]:
     p = patterns(uri)
-    for b in it:
+    for b in slices(it):
         texts = b.column("text").to_pylist()
         rows = [p.hits(t) if p else (len(words_of(t)), [], set(), 0) for t in texts]
         new = {

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import batch, mix, read_file, shared_dir, table, use_repo, write_file
+from .common import batch, mix, read_file, shared_dir, slices, table, texts, use_repo, write_file
 
 SHARD_KEYS = 100_000
 CACHE_BYTES, PROBE_BYTES = 64 << 20, 16 << 20
@@ -50,7 +50,7 @@ def key_of(line: bytes, min_chars: int) -> bytes | None:
 
 def _keys(it: Iterator[pa.RecordBatch], min_chars: int) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("hi", pa.int64()), ("lo", pa.int64()), ("doc_id", pa.int64())])
-    for b in it:
+    for b in slices(it, 2000):
         digests, owner = bytearray(), []
         docs = b.column(0).cast(pa.int64()).fill_null(LOWEST).to_pylist()
         for d, text in zip(docs, b.column(1).to_pylist()):
@@ -187,30 +187,31 @@ def buffered(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _probe(it: Iterator[pa.RecordBatch], schema: pa.Schema, folder: str, n_shards: int, min_chars: int, least: int, sha: bool) -> Iterator[pa.RecordBatch]:
     shards = Shards(folder, n_shards, least)
-    for b in buffered(it):
+    for b in buffered(slices(it)):
         docs = b.column("doc_id").cast(pa.int64()).fill_null(LOWEST).to_pylist()
-        where, digests = [], bytearray()
-        texts = [(t or "").encode() for t in b.column("text").to_pylist()]
-        for i, text in enumerate(texts) if n_shards else ():
+        rows, lines, digests = [], [], bytearray()
+        for i, text in enumerate(texts(b.column("text"))) if n_shards else ():
             for j, x in enumerate(text.split(b"\n")):
                 if (k := key_of(x, min_chars)) is not None:
-                    where.append((i, j))
+                    rows.append(i), lines.append(j)
                     digests += xxhash.xxh3_128_digest(k)
         h = np.frombuffer(bytes(digests), ">i8").astype(np.int64).reshape(-1, 2)
         dropped: dict[int, set[int]] = {}
         if len(h):
             hot, last = shards.find(np.ascontiguousarray(h[:, 0]), np.ascontiguousarray(h[:, 1]))
             for r in np.flatnonzero(hot).tolist():
-                i, j = where[r]
-                if docs[i] != last[r]:
-                    dropped.setdefault(i, set()).add(j)
-        kept = [b"\n".join(x for j, x in enumerate(text.split(b"\n")) if j not in gone) if (gone := dropped.get(i)) else text for i, text in enumerate(texts)]
-        new = {"n_lines": [x.count(b"\n") + 1 for x in texts], "n_dropped": [len(dropped.get(i, ())) for i in range(len(texts))]}
-        if sha:
-            new["kept_sha256"] = [hashlib.sha256(x).hexdigest() for x in kept]
-        else:
-            new["text"] = [x.decode() for x in kept]
-        yield pa.RecordBatch.from_arrays([pa.array(new[f.name], f.type) if f.name in new else b.column(f.name).cast(f.type) for f in schema], schema=schema)
+                if docs[rows[r]] != last[r]:
+                    dropped.setdefault(rows[r], set()).add(lines[r])
+        for k in range(0, b.num_rows, 500):
+            part, own = b.slice(k, 500), [*texts(b.column("text").slice(k, 500))]
+            cut = [dropped.get(k + i, ()) for i in range(len(own))]
+            kept = [b"\n".join(x for j, x in enumerate(text.split(b"\n")) if j not in gone) if gone else text for text, gone in zip(own, cut)]
+            new = {"n_lines": [x.count(b"\n") + 1 for x in own], "n_dropped": [*map(len, cut)]}
+            if sha:
+                new["kept_sha256"] = [hashlib.sha256(x).hexdigest() for x in kept]
+            else:
+                new["text"] = [x.decode() for x in kept]
+            yield pa.RecordBatch.from_arrays([pa.array(new[f.name], f.type) if f.name in new else part.column(f.name).cast(f.type) for f in schema], schema=schema)
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, digest_only: bool = False) -> DataFrame:

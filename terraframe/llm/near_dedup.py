@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, WordHash, mix, shared_dir, table, use_repo
+from .common import LOWER, WordHash, mix, shared_dir, slices, table, use_repo
 
 REGISTERS, BANDS, ROWS, MANTISSA = 256, 51, 5, 10
 MARGIN, BLOCK, ROUNDS = 0.17, 1000, 100
@@ -119,7 +119,7 @@ def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.n
 def _classify(it: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()), ("sketch", pa.binary())])
     hashes = WordHash()
-    for b in it:
+    for b in slices(it):
         n, dig, sk = [], bytearray(), []
         for text in b.column(1).to_pylist():
             s = shingles(text, size, hashes)
@@ -131,17 +131,14 @@ def _classify(it: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatc
 
 
 def _banded(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in it:
-        for k in range(0, b.num_rows, 2000):
-            part = b.slice(k, 2000)
-            keys = [bands(np.frombuffer(x, np.uint16)) for x in part.column(1).to_pylist()]
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.repeat(part.column(0).to_numpy(), BANDS))], names=["key", "id"])
+    for part in slices(it, 2000):
+        keys = [bands(np.frombuffer(x, np.uint16)) for x in part.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.repeat(part.column(0).to_numpy(), BANDS))], names=["key", "id"])
 
 
 def _likely(it: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
     """Pairs (a, b, sketch of a, sketch of b, sizes) whose estimate is at least least, with it."""
-    for t in it:
+    for t in slices(it, 4000):
         x, y = (np.frombuffer(b"".join(t.column(i).to_pylist()), np.uint16).reshape(-1, REGISTERS) for i in (2, 3))
         e = estimate(x, y, t.column(4).to_numpy(), t.column(5).to_numpy())
         keep = pa.array(e >= least)
@@ -171,7 +168,7 @@ def _across(it: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBat
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     rest: pa.Table | None = None
-    for t in it:
+    for t in slices(it, 4000):
         t = pa.Table.from_batches([t])
         t = t if rest is None else pa.concat_tables([rest, t])
         last = [t[x][-1] for x in ("key", "q", "r")]
@@ -186,7 +183,7 @@ def _across(it: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBat
 
 def _verify(it: Iterator[pa.RecordBatch], size: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
     hashes, last, own = WordHash(), None, None
-    for t in it:
+    for t in slices(it):
         keep = []
         for b, ta, tb in zip(t.column(1).to_pylist(), t.column(2).to_pylist(), t.column(3).to_pylist()):
             if b != last:
@@ -306,7 +303,7 @@ def _digested(docs: DataFrame, size: int) -> DataFrame:
 
     def run(it):
         hashes = WordHash()
-        for b in it:
+        for b in slices(it):
             h = np.frombuffer(b"".join(xxhash.xxh3_128_digest(shingles(t, size, hashes).tobytes()) for t in b.column(1).to_pylist()), ">i8").astype(np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(1).cast(pa.string()), pa.array(h[:, 0]), pa.array(h[:, 1])], names=["doc_id", "text", "hi", "lo"])
 

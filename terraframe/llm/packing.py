@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import only, shared_dir, table, use_repo
+from .common import only, shared_dir, slices, table, use_repo
 
 EOS, SIZE, OPEN, GROUP = 1, 2048, 64, 64
 CACHE = 800_000
@@ -148,7 +148,7 @@ def _pack(it: Iterator[pa.RecordBatch], schema: pa.Schema, size: int, count: int
         data = {"doc_id": doc, "start": start, "length": length, "ids_crc32": crc, "doc_tokens": total, "part": [part] * len(rows), "seq": seq, "offset": offset, "used": used, "ids": raw}
         return pa.RecordBatch.from_arrays([pa.array(data[f.name], f.type) for f in schema], schema=schema)
 
-    for b in it:
+    for b in slices(it):
         ready: list[tuple] = []
         for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             ids = tokens.encode(text or "") + end

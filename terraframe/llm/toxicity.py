@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import LOWER, table, use_repo
+from .common import LOWER, slices, table, use_repo
 
 PRIOR, PREFIXES, DRIFT, CLIP, ALPHA = 20.0, (4, 6, 8), -1.0, 4.0, 0.01
 LABELLED, FOLDS, MEMO = 20_000, 5, 200_000
@@ -264,7 +264,7 @@ def score_toxicity(docs: DataFrame, model: Model, with_segments: bool = True) ->
 
     def run(it):
         m = shared.value
-        for b in it:
+        for b in slices(it):
             scores, spans = [], []
             for t in b.column("text").to_pylist():
                 n, every = m.find(t)
