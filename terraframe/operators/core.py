@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from ..functions.scalars import limit_message
@@ -48,6 +47,16 @@ def running(df: DataFrame, value: str, order: str, name: str, buckets: int = 1 <
     return b.withColumn("__inner", inner).join(before, "__b").withColumn(name, F.col("__inner") + F.col("__before")).drop("__b", "__inner", "__before")
 
 
+def latest(df: DataFrame, value: str, order: str, name: str, buckets: int = 1 << 16) -> DataFrame:
+    """The last value so far that isn't null, over the whole table in the order of a row number: within buckets of rows first, as in
+    running()."""
+    b = df.withColumn("__b", F.expr(f"cast({order} div {buckets} as long)"))
+    tails = b.groupBy("__b").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col(order))).alias("__t"))
+    before = tails.withColumn("__before", F.last("__t", True).over(W.orderBy("__b").rowsBetween(W.unboundedPreceding, -1))).drop("__t")
+    inner = F.last(value, True).over(W.partitionBy("__b").orderBy(order).rowsBetween(W.unboundedPreceding, 0))
+    return b.withColumn("__inner", inner).join(before, "__b").withColumn(name, F.coalesce("__inner", "__before")).drop("__b", "__inner", "__before")
+
+
 def previous(df: DataFrame, columns: list[str], order: str, buckets: int = 1 << 16) -> DataFrame:
     """Adds __prev_<c>: the value in the row before, over the whole table, in the order of a row number without gaps."""
     b = df.withColumn("__b", F.expr(f"cast({order} div {buckets} as long)"))
@@ -61,8 +70,12 @@ def previous(df: DataFrame, columns: list[str], order: str, buckets: int = 1 <<
 # --- filters -------------------------------------------------------------------------------------------
 
 
-def find_bbox(bounds: DataFrame) -> DataFrame:
-    """One row: found and the last declared bounds (x1, y1, x2, y2); zeros if none were declared."""
+def find_bbox(bounds: DataFrame, objects: DataFrame | None = None) -> DataFrame:
+    """One row: found and the last declared bounds (x1, y1, x2, y2); zeros if none were declared. With the objects of the same input,
+    only bounds that stand before the first of them count."""
+    if objects is not None:
+        first = objects.agg(F.min("seq").alias("__first"))  # one row
+        bounds = bounds.join(F.broadcast(first), F.col("__first").isNull() | (F.col("seq") < F.col("__first")), "left_semi")
     last = bounds.agg(F.max_by(F.struct("min_lon", "min_lat", "max_lon", "max_lat"), "seq").alias("b"))
     names = {"x1": "min_lon", "y1": "min_lat", "x2": "max_lon", "y2": "max_lat"}
     return last.select(F.col("b").isNotNull().alias("found"), *[F.coalesce(F.col(f"b.{c}"), F.lit(0.0)).alias(n) for n, c in names.items()])
@@ -72,9 +85,6 @@ def dedup_first(objects: DataFrame, *epoch: str) -> DataFrame:
     """The first object by seq of each (type, id), and of each epoch if given. A hot key keeps one row a map task, so no group is
     collected."""
     keys = ["type", "id", *epoch]
-    if any(isinstance(f.dataType, T.MapType) for f in objects.schema.fields) or len(objects.columns) > 8:
-        w = W.partitionBy(*keys).orderBy("seq")
-        return objects.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
     rest = [c for c in objects.columns if c not in keys]
     least = objects.groupBy(*keys).agg(F.min_by(F.struct(*rest), "seq").alias("__r"))
     return least.select(*[F.col(c) if c in keys else F.col(f"__r.{c}").alias(c) for c in objects.columns])
@@ -115,9 +125,9 @@ def change_blocks(edits: DataFrame) -> DataFrame:
     e = previous(ordered(e, "seq"), ["action"], "__row")
     e = e.withColumn("__opens", F.when(F.col("__prev_action").isNull() | (F.col("__prev_action") != F.col("action")), 1).otherwise(0).cast("long"))
     e = running(e, "__opens", "__row", "__block").withColumn("block_no", (F.col("__block") - 1).cast("int"))
-    w = W.partitionBy("block_no").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
-    e = e.withColumn("if_unused", F.when(F.col("action") == "delete", F.first("if_unused").over(w)).otherwise(F.lit(False)))
-    return e.drop("__row", "__prev_action", "__opens", "__block")
+    e = latest(e.withColumn("__told", F.when(F.col("__opens") == 1, F.coalesce("if_unused", F.lit(False)))), "__told", "__row", "__flag")
+    e = e.withColumn("if_unused", F.when(F.col("action") == "delete", F.col("__flag")).otherwise(F.lit(False)))
+    return e.drop("__row", "__prev_action", "__opens", "__block", "__told", "__flag")
 
 
 def append_block(changes: DataFrame, objects: DataFrame, act: str, if_unused: bool = False) -> DataFrame:

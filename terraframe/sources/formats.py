@@ -12,9 +12,11 @@ don't depend on each other.
 from __future__ import annotations
 
 import json
+import mmap
 import os
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
@@ -39,6 +41,17 @@ def _bytes(path: str, begin: int = 0, size: int = -1) -> bytes:
         return f.read(size)
 
 
+@contextmanager
+def _mapped(path: str) -> Iterator[bytes | mmap.mmap]:
+    """A file's bytes as far as they are looked at: planning steps from record to record and holds none of them."""
+    with open(path, "rb") as f:
+        if os.fstat(f.fileno()).st_size == 0:
+            yield b""
+            return
+        with mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) as m:
+            yield m
+
+
 @dataclass
 class Piece(InputPartition):
     number: int
@@ -93,7 +106,8 @@ def _plain(field: str, v):
 
 class O5mReader(_Reader):
     def pieces(self, path: str) -> list[tuple[int, int]]:
-        return o5m.segments(_bytes(path))
+        with _mapped(path) as data:
+            return o5m.segments(data)
 
     def events(self, piece: Piece) -> Iterator[tuple]:
         data = _bytes(piece.path, piece.begin, piece.end - piece.begin)
@@ -102,7 +116,8 @@ class O5mReader(_Reader):
 
 class PbfReader(_Reader):
     def pieces(self, path: str) -> list[tuple[int, int]]:
-        return [(at, at + size if kind == "OSMData" else -at - size) for kind, at, size in pbf.blobs(_bytes(path)) if kind in ("OSMData", "OSMHeader")]
+        with _mapped(path) as data:
+            return [(at, at + size if kind == "OSMData" else -at - size) for kind, at, size in pbf.blobs(data) if kind in ("OSMData", "OSMHeader")]
 
     def events(self, piece: Piece) -> Iterator[tuple]:
         payload = pbf.inflate(_bytes(piece.path, piece.begin, abs(piece.end) - piece.begin))

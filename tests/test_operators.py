@@ -67,6 +67,11 @@ def test_dedup_and_empty(spark):
     got = C.dedup_first(o).filter("type = 'node' and id = 3").collect()
     assert len(got) == 1 and got[0].lat == 1.5
     assert C.find_bbox(spark.createDataFrame([], "seq long, min_lon double, min_lat double, max_lon double, max_lat double")).first().found is False
+    many = objects(spark, [blank("node", 1, lat=float(i), tags={"k": str(i)}) for i in range(50)]).repartition(5)
+    assert [(r.lat, r.tags) for r in C.dedup_first(many).collect()] == [(0.0, {"k": "0"})] and C.dedup_first(many).columns == many.columns
+    box = spark.createDataFrame([(s, float(s), 0.0, 1.0, 1.0) for s in (1, 2, 9)], "seq long, min_lon double, min_lat double, max_lon double, max_lat double")
+    assert [C.find_bbox(box, *x).first().x1 for x in ((), (o.filter("seq >= 3"),), (o.filter("false"),))] == [9.0, 2.0, 9.0]
+    assert C.find_bbox(box, o).first().found is False
     assert C.count_by_type(o.filter("false")).count() == 0 and C.type_transitions(o.filter("false")).count() == 0
     assert C.type_transitions(o).count() == 4
 
@@ -77,6 +82,23 @@ def test_change_blocks(spark):
     assert [(r.action, r.block_no, r.if_unused) for r in got] == [("create", 0, False), ("create", 0, False), ("modify", 1, False), ("delete", 2, True), ("delete", 2, True), ("create", 3, False)]
 
 
+def test_latest_across_buckets(spark):
+    d = spark.createDataFrame([(i, i if i in (0, 7) else None) for i in range(20)], "n long, v long").repartition(3)
+    assert [r.x for r in C.latest(d, "v", "n", "x", 4).orderBy("n").collect()] == [0] * 7 + [7] * 13
+
+
+def test_planning_maps_files(tmp_path):
+    from terraframe.sources.formats import O5mReader, PbfReader, _mapped
+
+    (tmp_path / "empty.pbf").write_bytes(b"")
+    with _mapped(str(tmp_path / "empty.pbf")) as m:
+        assert m == b""
+    assert PbfReader({"path": str(tmp_path / "empty.pbf")}, OBJECT).partitions() == []
+    (tmp_path / "bad.o5m").write_bytes(b"nothing")
+    with pytest.raises(ValueError):
+        O5mReader({"path": str(tmp_path / "bad.o5m")}, OBJECT).partitions()
+
+
 def test_limits_and_scalars(spark):
     with pytest.raises(ValueError):
         C.parse_limits({"max_fun": 1})
