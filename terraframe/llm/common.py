@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import os
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -14,6 +13,8 @@ import pyarrow.fs as pafs
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import shared_folder
+
 #: A-Z to a-z; every other byte as it is.
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: Stands for a null doc_id: it sorts behind every other document.
@@ -21,14 +22,8 @@ NULL_ID = np.iinfo(np.int64).max
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder that all executors reach: below spark.checkpoint.dir; a temporary one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="terraframe-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    if "://" not in base and base.startswith("/"):
-        base = "file://" + base
-    return f"{base.rstrip('/')}/tf-{uuid.uuid4().hex}"
+    """A fresh folder that all executors reach, below spark.checkpoint.dir."""
+    return f"{shared_folder(spark)}/tf-{uuid.uuid4().hex}"
 
 
 def fs_of(uri: str) -> tuple[pafs.FileSystem, str]:

@@ -52,6 +52,19 @@ def none(spark):
     return spark.createDataFrame([], DOCS)
 
 
+def test_shared_folder_must_be_set_on_a_cluster():
+    from types import SimpleNamespace as Of
+
+    from terraframe.llm.common import shared_dir
+
+    session = lambda master, folder: Of(conf=Of(get=lambda *_: folder, set=lambda *_: None), sparkContext=Of(master=master))
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared_dir(session("spark://host:7077", None))
+    assert shared_dir(session("spark://host:7077", "/shared/")).startswith("file:///shared/tf-")
+    assert shared_dir(session("yarn", "hdfs://x/y")).startswith("hdfs://x/y/tf-")
+    assert shared_dir(session("local[2]", None)).startswith("file:///")
+
+
 def by_id(df):
     return {r.doc_id: r for r in df.collect()}
 
