@@ -66,7 +66,8 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", packing),
 ]
 
-#: The near-dedup and packing stages aren't expressible in SQL; the tests hold every stage against brute force.
+#: The near-dedup and packing stages aren't expressible in SQL; the tests hold quality against SQL, packing against an exact round trip and
+#: the other stages against brute force.
 ORACLE_SQL = None
 
 

@@ -741,6 +741,34 @@ def test_toxicity_sums_segments_and_backs_off(spark):
     assert got[3] < got[1] < got[2] and got[2] > 0.5 > got[3]
 
 
+def test_pipeline_stages_equal_brute_force(spark, docs, rows, tmp_path):
+    import corpus_pipeline as P
+    from terraframe.llm.quality import judge
+
+    t = texts()
+    items = [(1, " ".join(t[14].split()[5:30])), (2, "TWO, words!"), (3, None), (4, t[13]), (5, " ".join(t[19].split()[100:105]))]
+    spark.createDataFrame(items, "item_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept = lambda d: {r.doc_id: (r.text, r.n_chars) for r in d.collect()}
+    every = {d: (x, n) for d, x, _, _, n, *_ in rows}
+    verdict = {r.doc_id for r in judge(docs).filter("kept").collect()}  # held against SQL by op9
+    assert kept(P.quality(spark, docs, str(tmp_path))) == {d: every[d] for d in verdict} and verdict
+    want = {d: (x, len(x)) if gone else (x, every[d][1]) for d, x, _, gone in brute_lines(rows)}
+    assert kept(P.lines(spark, docs, str(tmp_path))) == want
+    assert kept(P.near(spark, docs, str(tmp_path))) == {d: every[d] for d, (_, _, k) in brute_near(rows, 5).items() if k}
+    norm = lambda x: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (x or "").translate({c: c + 32 for c in range(65, 91)}))
+    clean = set()
+    for d, x, *_ in rows:
+        w, longest = " " + " ".join(norm(x)) + " ", 0
+        for _, y in items:
+            v = norm(y)
+            n = min(8, len(v))
+            if v and any(" " + " ".join(v[k : k + n]) + " " in w for k in range(len(v) - n + 1)):
+                longest = max(longest, n)
+        if longest < 4 and (not longest or 2 * longest < len(norm(x))):
+            clean.add(d)
+    assert kept(P.decontaminate(spark, docs, str(tmp_path))) == {d: every[d] for d in clean} and len(clean) < len(rows) - 3
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as P
 
