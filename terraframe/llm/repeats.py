@@ -6,7 +6,8 @@ the anchor's gram the key by which the corpus is split into shards: all windows
 tell where text goes; which windows are equal is found by the engines on the text itself.
 
 1. Documents are gathered into batches, written to the shared folder; each sends the distinct gram hashes of its anchors, sorted and
-   delta-coded, to shards by hash range (about 5 bytes an anchor).
+   delta-coded, to shards by hash range (about 5 bytes an anchor). Batches of one task travel in groups, a row for each group and
+   shard: groups grow with the corpus (to GROUP_BYTES), as there are more shards then and a row a batch would hold ever less.
 2. A shard tells each batch which of its grams occur elsewhere too, and which in more than HOT batches (a bit a gram each).
 3. A batch reads its file again and sorts the suffixes at which its contexts at repeated grams begin (a sparse suffix array, to the
    context's end). Equal neighbours go to the gram's shard as one record, with the smallest place (document, start) they have in the
@@ -40,6 +41,9 @@ from .common import NULL_ID, WordHash, ids, mix, read_file, shared_dir, texts, u
 HASH_BITS = 56
 CHUNK = 1 << 19
 SHARD_BYTES = 8 << 20
+GROUP_BYTES = 16 << 20
+#: Text that a group should have for each shard.
+ROW_BYTES = 1 << 14
 HOT = 512
 _ODD = [int(x) for x in mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)]
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -224,49 +228,93 @@ def _distinct(a: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return g, count > 1, inverse
 
 
+def _bounds(shards: int) -> np.ndarray:
+    return np.array([(i << HASH_BITS) // shards for i in range(shards + 1)], np.uint64)
+
+
 def _cuts(g: np.ndarray, shards: int) -> np.ndarray:
-    bounds = [(i << HASH_BITS) // shards for i in range(shards + 1)]
-    return np.searchsorted(g, np.array(bounds, np.uint64))
+    return np.searchsorted(g, _bounds(shards))
+
+
+def _group_bytes(shards: int, batch_bytes: int) -> int:
+    return max(batch_bytes, min(GROUP_BYTES, ROW_BYTES * shards))
+
+
+def _name(part: int, number: int, batches: int) -> str:
+    return f"{part:07}-{number:06}-{batches:06}"
+
+
+def _files(group: str) -> list[str]:
+    """The files of a group's batches."""
+    head, _, batches = group.rpartition("-")
+    return [f"{head}-{i:06}" for i in range(int(batches))]
+
+
+def _ranges(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers first .. first + size - 1 of all pairs, in a row."""
+    return np.repeat(first - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+
+
+def _joined(parts: list[np.ndarray], shard: int, shards: int) -> bytes:
+    """Sorted grams of a group's batches in one shard (twice the gram, and one if it has several anchors), as one sorted sequence."""
+    low, width = _span(shard, shards)
+    return deltas(np.concatenate([x - np.uint64(2 * low) + np.uint64(2 * i * width) for i, x in enumerate(parts)]))
+
+
+def _span(shard: int, shards: int) -> tuple[int, int]:
+    low = (shard << HASH_BITS) // shards
+    return low, ((shard + 1) << HASH_BITS) // shards - low
 
 
 # --- steps -----------------------------------------------------------------------------------------
 
 
-def _send_grams(it: Iterator[pa.RecordBatch], plan: Plan, folder: str, shards: int) -> Iterator[pa.RecordBatch]:
+def _send_grams(it: Iterator[pa.RecordBatch], plan: Plan, folder: str, shards: int, group_bytes: int) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
     schema = pa.schema([("shard", pa.int32()), ("batch", pa.string()), ("grams", pa.binary())])
     part, number, hashes = TaskContext.get().partitionId(), 0, WordHash()
+    group: list[tuple[np.ndarray, np.ndarray]] = []
 
-    def flush(doc_ids, raw) -> pa.RecordBatch:
-        nonlocal number
-        name = f"{part:07}-{number:06}"
-        number += 1
+    def flush(doc_ids, raw) -> None:
         b = Batch(np.array(doc_ids, np.int64), raw, plan, hashes)
-        b.save(f"{folder}/batches/{name}")
+        b.save(f"{folder}/batches/{part:07}-{number:06}-{len(group):06}")
         g, several, _ = _distinct(anchors(b.symbols, b.ends, plan))
-        v = (g << np.uint64(1)) | several.astype(np.uint64)
-        cut = _cuts(g, shards)
-        home = zlib.crc32(name.encode()) % shards  # one shard hears of a batch in any case
-        use = [i for i in range(shards) if cut[i] < cut[i + 1] or i == home]
-        return pa.RecordBatch.from_arrays([pa.array(use, pa.int32()), pa.array([name] * len(use)), pa.array([deltas(v[cut[i] : cut[i + 1]]) for i in use], pa.binary())], schema=schema)
+        group.append(((g << np.uint64(1)) | several.astype(np.uint64), _cuts(g, shards)))
 
-    doc_ids, raw, size = [], [], 0
+    def send() -> pa.RecordBatch:
+        nonlocal number
+        name = _name(part, number, len(group))
+        number += 1
+        sizes = sum(np.diff(cut) for _, cut in group)
+        home = zlib.crc32(name.encode()) % shards  # one shard hears of a group in any case
+        use = [i for i in range(shards) if sizes[i] or i == home]
+        rows = [_joined([v[cut[i] : cut[i + 1]] for v, cut in group], i, shards) for i in use]
+        group.clear()
+        return pa.RecordBatch.from_arrays([pa.array(use, pa.int32()), pa.array([name] * len(use)), pa.array(rows, pa.binary())], schema=schema)
+
+    doc_ids, raw, size, whole = [], [], 0, 0
     for b in it:
         for d, t in zip(ids(b.column(0)).tolist(), texts(b.column(1))):
             if raw and size + len(t) > plan.batch_bytes:
-                yield flush(doc_ids, raw)
+                flush(doc_ids, raw)
+                whole += size
                 doc_ids, raw, size = [], [], 0
+                if whole + plan.batch_bytes > group_bytes or len(group) == 64:  # more might not fit into 64 bits in _joined
+                    yield send()
+                    whole = 0
             doc_ids.append(d), raw.append(t)
             size += len(t)
     if raw:
-        yield flush(doc_ids, raw)
+        flush(doc_ids, raw)
+    if group:
+        yield send()
 
 
-def _find_repeated(pdf: pd.DataFrame, hot: int) -> pd.DataFrame:
+def _find_repeated(pdf: pd.DataFrame, hot: int, shards: int) -> pd.DataFrame:
     """For each gram of each batch two bits: whether it occurs elsewhere too, and in more than hot batches."""
     own = [undelta(x) for x in pdf["grams"]]
-    v = np.concatenate(own)
+    v = np.concatenate(own) % np.uint64(2 * _span(int(pdf["shard"].iloc[0]), shards)[1])  # a batch has a gram once
     _, inverse, count = np.unique(v >> np.uint64(1), return_inverse=True, return_counts=True)
     batches = count[inverse]
     bits = np.stack([(batches > 1) | (v & np.uint64(1)).astype(bool), batches > hot], 1)
@@ -274,16 +322,10 @@ def _find_repeated(pdf: pd.DataFrame, hot: int) -> pd.DataFrame:
     return pd.DataFrame({"batch": pdf["batch"], "shard": pdf["shard"], "bits": [np.packbits(x).tobytes() for x in np.split(bits, cut)]})
 
 
-def _send_contexts(pdf: pd.DataFrame, plan: Plan, folder: str, shards: int) -> pd.DataFrame:
-    name = pdf["batch"].iloc[0]
-    b = Batch.load(f"{folder}/batches/{name}", plan)
-    a = anchors(b.symbols, b.ends, plan)
-    g, _, which = _distinct(a)
-    cut, told = _cuts(g, shards), np.zeros((len(g), 2), bool)
-    for shard, bits in zip(pdf["shard"], pdf["bits"]):
-        n = cut[shard + 1] - cut[shard]
-        told[cut[shard] : cut[shard + 1]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=2 * n).reshape(-1, 2)
-    again, hot = told[which].T if len(which) else (np.zeros(0, bool), np.zeros(0, bool))
+def _contexts(b: Batch, a: dict[str, np.ndarray], again: np.ndarray, hot: np.ndarray, uri: str, shards: int, before: int) -> tuple:
+    """The distinct contexts of a batch's repeated anchors, by shard: their shards, numbers (from before on), windows, whether they
+    have a second place, places, sizes and text. What the anchors' numbers are goes to uri."""
+    plan = b.plan
     a = {k: x[again] for k, x in a.items()}
     if (hot := hot[again]).any():
         a = split(a, hot, anchors(b.symbols, b.ends, replace(plan, gram=(plan.gram + plan.window) // 2)))
@@ -301,17 +343,45 @@ def _send_contexts(pdf: pd.DataFrame, plan: Plan, folder: str, shards: int) -> p
     key2[has], start2[has] = key[behind[second]], start[behind[second]]
     again2 = np.zeros(len(pick), bool)
     again2[has] = True
-    write_file(f"{folder}/contexts/{name}", pack(number.astype("<u4"), lo.astype("<i8"), n.astype("u1"), later))
+    write_file(uri, pack((number + before).astype("<u4"), lo.astype("<i8"), n.astype("u1"), later))
     shard = (a["gram"][pick] % np.uint64(shards)).astype(np.int64)
-    out = []
     by = np.argsort(shard, kind="stable")
-    for rows in np.split(by, np.flatnonzero(np.diff(shard[by])) + 1):
-        if len(rows):
-            q = pick[rows]
-            ctx = [b.text(x, x + k + plan.window - 1) for x, k in zip(lo[q].tolist(), n[q].tolist())]
-            places = np.stack([key[q], start[q], key2[rows], start2[rows]]).astype("<i8")
-            out.append((int(shard[rows[0]]), name, pack(rows.astype("<u4"), n[q].astype("u1"), again2[rows], places, np.array([len(x) for x in ctx], "<u4"), b"".join(ctx))))
-    out.append((zlib.crc32(name.encode()) % shards, name, b""))  # one shard hears of a batch in any case
+    q = pick[by]
+    ctx = [b.text(x, x + k + plan.window - 1) for x, k in zip(lo[q].tolist(), n[q].tolist())]
+    places = np.stack([key[q], start[q], key2[by], start2[by]], 1).astype("<i8")
+    return shard[by], (by + before).astype("<u4"), n[q].astype("u1"), again2[by], places, np.array([len(x) for x in ctx], "<u4"), b"".join(ctx)
+
+
+def _send_contexts(pdf: pd.DataFrame, plan: Plan, folder: str, shards: int) -> pd.DataFrame:
+    name = pdf["batch"].iloc[0]
+    # where each shard's answers begin: they are by batch, and in a batch by gram
+    told = [np.unpackbits(np.frombuffer(x, np.uint8)) for x in pdf["bits"]]
+    at = np.zeros(shards, np.int64)
+    at[pdf["shard"].to_numpy()] = np.cumsum([0] + [len(x) for x in told[:-1]])
+    told = np.concatenate(told).astype(bool)
+    parts, before = [], 0
+    for file in _files(name):
+        b = Batch.load(f"{folder}/batches/{file}", plan)
+        a = anchors(b.symbols, b.ends, plan)
+        g, _, which = _distinct(a)
+        sizes = np.diff(_cuts(g, shards))
+        first = _ranges(at, 2 * sizes)[::2]
+        at += 2 * sizes
+        parts.append(_contexts(b, a, told[first][which], told[first + 1][which], f"{folder}/contexts/{file}", shards, before))
+        before += len(parts[-1][0])
+        del a, b
+    *cols, data = zip(*parts)
+    edges = [np.concatenate([[0], np.cumsum(x, dtype=np.int64)])[np.searchsorted(y, np.arange(shards + 1))].tolist() for x, y in zip(cols[5], cols[0])]
+    shard, row, n, more, places, sizes = map(np.concatenate, cols)
+    by = np.argsort(shard, kind="stable")
+    cut = np.searchsorted(shard[by], np.arange(shards + 1))
+    row, n, more, places, sizes = row[by], n[by], more[by], places[by], sizes[by]
+    out = []
+    for i in np.flatnonzero(np.diff(cut)).tolist():
+        x, y = int(cut[i]), int(cut[i + 1])
+        ctx = b"".join([d[e[i] : e[i + 1]] for d, e in zip(data, edges)])
+        out.append((i, name, pack(row[x:y], n[x:y], more[x:y], places[x:y].T, sizes[x:y], ctx)))
+    out.append((zlib.crc32(name.encode()) % shards, name, b""))  # one shard hears of a group in any case
     return pd.DataFrame(out, columns=["shard", "batch", "contexts"])
 
 
@@ -382,19 +452,25 @@ def window_runs(windows: np.ndarray, contexts: np.ndarray) -> tuple[np.ndarray,
 
 def _cover(pdf: pd.DataFrame, plan: Plan, folder: str) -> pd.DataFrame:
     name = pdf["batch"].iloc[0]
-    b = Batch.load(f"{folder}/batches/{name}", plan, False)
-    number, lo, n, later = unpack(read_file(f"{folder}/contexts/{name}"), "<u4", "<i8", "u1", "?")
+    runs = [unpack(x, "<i8", "u1", "u1") for x in pdf["runs"] if len(x)]
+    r, x, y = map(np.concatenate, zip(*runs)) if runs else (np.empty(0, np.int64),) * 3
+    by = np.argsort(r, kind="stable")
+    r, x, y = r[by], x[by], y[by]
+    return pd.concat([_rows(f"{folder}/batches/{file}", f"{folder}/contexts/{file}", r, x, y, plan) for file in _files(name)])
+
+
+def _rows(batch: str, contexts: str, r: np.ndarray, x: np.ndarray, y: np.ndarray, plan: Plan) -> pd.DataFrame:
+    """What plan.finish makes of a batch's documents. Runs x to y of windows repeat in the records r, which are sorted; some may be of
+    other batches."""
+    b = Batch.load(batch, plan, False)
+    number, lo, n, later = unpack(read_file(contexts), "<u4", "<i8", "u1", "?")
     step = np.zeros(int(b.ends[-1] if len(b.ends) else 0) + 1, np.int64)
     record = 2 * number.astype(np.int64) + later
-    order = np.argsort(record, kind="stable")
-    for blob in pdf["runs"]:
-        if len(blob):
-            r, x, y = unpack(blob, "<i8", "u1", "u1")
-            left, right = (np.searchsorted(record[order], r, side=s) for s in ("left", "right"))
-            reps = right - left
-            at = order[np.repeat(left, reps) + (np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps))]
-            np.add.at(step, lo[at] + np.repeat(x, reps), 1)
-            np.add.at(step, lo[at] + np.repeat(y, reps) - 1 + plan.window, -1)
+    left, right = (np.searchsorted(r, record, side=s) for s in ("left", "right"))
+    reps = right - left
+    own, run = np.repeat(lo, reps), _ranges(left, reps)
+    np.add.at(step, own + x[run], 1)
+    np.add.at(step, own + y[run] - 1 + plan.window, -1)
     gone = np.cumsum(step[:-1]) > 0
     out = [plan.finish(b, i, gone[s:e]) for i, (s, e) in enumerate(zip(b.starts.tolist(), b.ends.tolist()))]
     frame = pd.DataFrame(out)
@@ -412,8 +488,9 @@ def removed(docs: DataFrame, plan: Plan, schema: str) -> DataFrame:
     shards = max(1, -(-total // SHARD_BYTES))
     # small rows stand for much work, so these steps don't leave the number of tasks to the size of their rows
     parts = max(1, -(-total // (8 * plan.batch_bytes)), spark.sparkContext.defaultParallelism)
-    grams_ = d.mapInArrow(lambda it: _send_grams(it, plan, folder, shards), "shard int, batch string, grams binary")
-    repeated = grams_.groupBy("shard").applyInPandas(lambda p: _find_repeated(p, plan.hot), "batch string, shard int, bits binary")
+    group = _group_bytes(shards, plan.batch_bytes)
+    grams_ = d.mapInArrow(lambda it: _send_grams(it, plan, folder, shards, group), "shard int, batch string, grams binary")
+    repeated = grams_.groupBy("shard").applyInPandas(lambda p: _find_repeated(p, plan.hot, shards), "batch string, shard int, bits binary")
     contexts = repeated.repartition(parts, "batch").groupBy("batch").applyInPandas(lambda p: _send_contexts(p, plan, folder, shards), "shard int, batch string, contexts binary")
     runs = contexts.groupBy("shard").applyInPandas(lambda p: _judge(p, plan), "batch string, runs binary")
     return runs.repartition(parts, "batch").groupBy("batch").applyInPandas(lambda p: _cover(p, plan, folder), f"doc_id long, {schema}")

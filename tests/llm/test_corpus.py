@@ -137,6 +137,29 @@ def test_suffix_dedup_small_batches(spark, odd, rows, hot):
     assert removed(odd, plan(nothing), schema).filter("n_removed > 0").count() == 0
 
 
+def travelled(monkeypatch, folder, frame, shard_bytes):
+    """The rows of frame(), and how many batches and groups of them there were, with small shards."""
+    from terraframe.llm import repeats as R
+
+    monkeypatch.setattr(R, "SHARD_BYTES", shard_bytes)
+    monkeypatch.setattr(R, "shared_dir", lambda spark: f"file://{folder}")
+    found = frame().collect()
+    names = [p.name for p in (folder / "batches").iterdir()]
+    return found, len(names), len({x[:14] for x in names})  # part and number
+
+
+def test_suffix_dedup_groups(monkeypatch, tmp_path, odd, rows):
+    """Where shards are many, batches travel in groups, not in a row for each batch and shard."""
+    from terraframe.llm import suffix_dedup as S
+    from terraframe.llm.repeats import Plan, removed
+
+    plan = Plan(False, 50, 20, False, 3000, S.engine, S._digest)
+    frame = lambda: removed(odd.coalesce(1), plan, "n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    found, batches, groups = travelled(monkeypatch, tmp_path, frame, 20_000)
+    assert collections.Counter(tuple(r[c] for c in ("doc_id", *BYTES)) for r in found) == brute_bytes(ODD(rows))
+    assert batches >= 8 and groups <= batches // 4
+
+
 def test_suffix_levels():
     from terraframe.llm.suffix_dedup import Family
 
