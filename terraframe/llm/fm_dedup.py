@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from .repeats import Batch, Plan, removed
 
 WINDOW, GRAM, SAMPLE = 20, 8, 8
+#: The bits below each of 64.
+BELOW = (np.uint64(1) << np.arange(64, dtype=np.uint64)) - np.uint64(1)
 
 
 class Bits:
@@ -40,8 +42,7 @@ class Bits:
     def rank1(self, i: np.ndarray) -> np.ndarray:
         """Ones before each of the places."""
         w = i >> 6
-        return self.before[w].astype(np.int64) + np.bitwise_count(self.words[w] & ((np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1)))
-
+        return np.bitwise_count(self.words[w] & BELOW[i & 63]) + self.before[w].astype(np.int64)
 
     def get(self, i: np.ndarray) -> np.ndarray:
         return ((self.words[i >> 6] >> (i & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
@@ -79,14 +80,12 @@ class Wavelet:
 
     def ranks(self, c: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """How often c comes before lo and before hi."""
-        first = np.zeros(len(c), np.int64)
+        both, c2 = np.concatenate([lo, hi]), np.concatenate([c, c])
         for bits, zeros, d in zip(self.levels, self.zeros, range(self.depth - 1, -1, -1)):
-            one = ((c >> d) & 1).astype(bool)
-            f, a, b = bits.rank1(first), bits.rank1(lo), bits.rank1(hi)
-            first = np.where(one, zeros + f, first - f)
-            lo = np.where(one, zeros + a, lo - a)
-            hi = np.where(one, zeros + b, hi - b)
-        return lo - first, hi - first
+            ones = bits.rank1(both)
+            both = np.where((c2 >> d) & 1, zeros + ones, both - ones)
+        both -= self.first[c2]
+        return both[: len(c)], both[len(c) :]
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
@@ -141,7 +140,8 @@ class FMIndex:
         length, live = np.zeros(len(ends), np.int64), np.arange(len(ends))
         lo, hi = np.zeros(len(ends), np.int64), np.full(len(ends), self.n, np.int64)
         for k in range(1, most + 1):
-            lo, hi = self.step(text[ends[live] - k], lo, hi)
+            c = text[ends[live] - k]
+            lo, hi = self.step(c, lo, hi) if k > 1 else (self.less[c], self.less[c + 1])  # all suffixes that begin with it
             more = self.weights[hi] - self.weights[lo] > 1
             live, lo, hi = live[more], lo[more], hi[more]
             length[live] = k
@@ -153,8 +153,10 @@ class FMIndex:
 def engine(contexts: list[bytes], n: np.ndarray, place: np.ndarray, weight: np.ndarray, plan: Plan) -> np.ndarray:
     """The smallest place of each window of contexts that stands at several, else a large number. weight: at how many places each
     context stands."""
-    ids: dict[bytes, int] = {b"": 0}
-    text = np.array([ids.setdefault(w, len(ids)) for c in contexts for w in [b"", *c.split()]], np.int64)
+    words = [w for c in contexts for w in (b"", *c.split())]
+    ids = {w: i for i, w in enumerate(dict.fromkeys(words))}  # the separator, which comes first, is 0
+    text = np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
+    del words, ids
     begin = np.flatnonzero(text == 0) + 1
     sizes = n + plan.window  # with the separator
     index = FMIndex(text, np.repeat(weight, sizes))

@@ -203,8 +203,8 @@ class Batch:
         """The symbols in as few bytes as tell them apart within the batch."""
         if not self.plan.words:
             return self.symbols
-        seen: dict[bytes, int] = {}
-        return np.fromiter((seen.setdefault(w, len(seen) + 1) for w in self.flat), ">u4", len(self.flat))
+        seen = {w: i for i, w in enumerate(dict.fromkeys(self.flat), 1)}
+        return np.fromiter(map(seen.__getitem__, self.flat), ">u4", len(self.flat))
 
 
 def suffixes(b: Batch, lo: np.ndarray, n: np.ndarray, key: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

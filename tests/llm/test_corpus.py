@@ -218,6 +218,34 @@ def test_fm_dedup_small_batches(odd, rows, hot):
     assert removed(odd, plan(nothing), schema).filter("n_removed > 0").count() == 0
 
 
+def test_fm_dedup_groups(monkeypatch, tmp_path, odd, rows):
+    from terraframe.llm import fm_dedup as M
+    from terraframe.llm.repeats import Plan, removed
+
+    plan = Plan(True, 20, 8, True, 3000, M.engine, M._digest)
+    frame = lambda: removed(odd.coalesce(1), plan, "n_words long, n_removed long, kept_sha256 string")
+    found, batches, groups = travelled(monkeypatch, tmp_path, frame, 20_000)
+    assert collections.Counter(tuple(r[c] for c in ("doc_id", *TOKENS)) for r in found) == brute_words(ODD(rows))
+    assert batches >= 8 and groups <= batches // 4
+
+
+def test_wavelet_ranks():
+    """Against counting; a search reads each level once for both ends of an interval."""
+    from terraframe.llm import fm_dedup as M
+
+    r = np.random.default_rng(4)
+    seq = r.integers(0, 37, 900)
+    wavelet = M.Wavelet(seq, 37)
+    c, lo = r.integers(0, 37, 200), r.integers(0, 901, 200)
+    hi = np.minimum(lo + r.integers(0, 300, 200), 900)
+    calls = []
+    for bits in wavelet.levels:
+        bits.rank1 = lambda i, f=bits.rank1: calls.append(len(i)) or f(i)
+    a, b = wavelet.ranks(c, lo, hi)
+    assert a.tolist() == [int((seq[:x] == k).sum()) for k, x in zip(c, lo)] and b.tolist() == [int((seq[:x] == k).sum()) for k, x in zip(c, hi)]
+    assert sum(calls) == 400 * wavelet.depth
+
+
 def test_fm_index():
     from terraframe.llm.fm_dedup import FMIndex
 
