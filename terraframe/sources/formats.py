@@ -1,6 +1,8 @@
 """Spark data sources: o5m, osm_xml, osm_change and osm_pbf, read and written; o5m and PBF are read by segment and by blob.
 
-Reading: option "table" picks objects (default), bounds or header. seq is the partition's number in its upper bits and the place in
+Rows pass between Spark and the codecs as Arrow batches, column by column (batches.py).
+
+Reading: option "table" picks objects (default), bounds or header. XML is read by runs of the root's children (xml.pieces). seq is the partition's number in its upper bits and the place in
 it in its lower ones, so it keeps the order of a file across partitions. Files of a folder, or one file, are read; names are those
 that Python on every executor can open (a local or mounted path).
 
@@ -14,18 +16,20 @@ from __future__ import annotations
 import json
 import mmap
 import os
+import shutil
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyarrow import RecordBatch
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 from .. import schema as S
-from . import o5m, pbf, xml
+from . import batches, o5m, pbf, xml
 
-CHUNK = 1 << 20
+CHUNK, PIECE, MOST_PIECES = 1 << 20, 256 << 10, 512
 
 
 def _files(path: str) -> list[str]:
@@ -58,21 +62,24 @@ class Piece(InputPartition):
     path: str
     begin: int = 0
     end: int = -1
+    root: int = 0
+    blocks: int = 0
 
-    def __init__(self, number: int, path: str, begin: int = 0, end: int = -1):
+    def __init__(self, number: int, path: str, begin: int = 0, end: int = -1, root: int = 0, blocks: int = 0):
+        """Of XML read by pieces, root: bytes of the file up to the end of the root's tag; blocks: children of the root before begin."""
         super().__init__(number)
-        self.number, self.path, self.begin, self.end = number, path, begin, end
+        self.number, self.path, self.begin, self.end, self.root, self.blocks = number, path, begin, end, root, blocks
 
 
 class _Reader(DataSourceReader):
     change = False
 
     def __init__(self, options: dict, schema: StructType):
-        self.options, self.fields = options, [f.name for f in schema.fields]
+        self.options, self.schema = options, schema
         self.what = options.get("table", "objects")
         self.types = set(filter(None, options.get("types", "").split(",")))
 
-    def pieces(self, path: str) -> list[tuple[int, int]]:
+    def pieces(self, path: str) -> list[tuple[int, ...]]:
         return [(0, -1)]
 
     def events(self, piece: Piece) -> Iterator[tuple]:
@@ -81,11 +88,14 @@ class _Reader(DataSourceReader):
     def partitions(self) -> list[Piece]:
         out: list[Piece] = []
         for path in _files(self.options["path"]):
-            for begin, end in self.pieces(path):
-                out.append(Piece(len(out), path, begin, end))
+            for place in self.pieces(path):
+                out.append(Piece(len(out), path, *place))
         return out
 
-    def read(self, partition: Piece) -> Iterator[tuple]:
+    def read(self, partition: Piece) -> Iterator[RecordBatch]:
+        return batches.of_rows(self.rows(partition), self.schema)
+
+    def rows(self, partition: Piece) -> Iterator[dict]:
         place = partition.number << 40
         for kind, *value in self.events(partition):
             place += 1
@@ -97,43 +107,61 @@ class _Reader(DataSourceReader):
                 row = {"writing_program": "", "required_features": [], **value[0]}
             else:
                 continue
-            yield tuple(_plain(f, row.get(f)) for f in self.fields)
+            yield row
 
 
 def _plain(field: str, v):
     return [(m["type"], m["ref"], m["role"]) for m in v] if field == "members" and v is not None else v
 
 
+def _grouped(places: Iterable[tuple[int, int]], size: int) -> list[tuple[int, int]]:
+    """Neighbours as pieces of PIECE bytes at least, and not many more pieces than MOST_PIECES."""
+    out, begin, least = [], None, max(PIECE, size // MOST_PIECES)
+    for at, end in places:
+        begin = at if begin is None else begin
+        if end - begin >= least:
+            out.append((begin, end))
+            begin = None
+    return out if begin is None else [*out, (begin, end)]
+
+
 class O5mReader(_Reader):
     def pieces(self, path: str) -> list[tuple[int, int]]:
         with _mapped(path) as data:
-            return o5m.segments(data)
+            o5m.check(data)
+            return _grouped(o5m.runs(data, 1, len(data)), len(data))
 
     def events(self, piece: Piece) -> Iterator[tuple]:
-        data = _bytes(piece.path, piece.begin, piece.end - piece.begin)
-        yield from o5m.Decoder(self.options.get("strictroles", "false") == "true").records(data, 0, len(data))
+        strict = self.options.get("strictroles", "false") == "true"
+        with _mapped(piece.path) as data:
+            for begin, end in o5m.runs(data, piece.begin, piece.end):
+                own = data[begin:end]
+                yield from o5m.Decoder(strict).records(own, 0, len(own))
 
 
 class PbfReader(_Reader):
     def pieces(self, path: str) -> list[tuple[int, int]]:
         with _mapped(path) as data:
-            return [(at, at + size if kind == "OSMData" else -at - size) for kind, at, size in pbf.blobs(data) if kind in ("OSMData", "OSMHeader")]
+            ends = [0, *(at + size for _, at, size in pbf.blobs(data))]
+            return _grouped(zip(ends, ends[1:]), len(data))
 
     def events(self, piece: Piece) -> Iterator[tuple]:
-        payload = pbf.inflate(_bytes(piece.path, piece.begin, abs(piece.end) - piece.begin))
-        if piece.end < 0:
-            head, box = pbf.decode_header(payload)
-            yield "header", head
-            if box:
-                yield "bounds", box
-        elif self.what == "objects":
-            for row in pbf.decode_block(payload, self.options.get("compat") == "reference"):
-                yield "object", row
-
-
-def _chunks(path: str) -> Iterator[bytes]:
+        data = _bytes(piece.path, piece.begin, piece.end - piece.begin)
+        for kind, at, size in pbf.blobs(data):
+            if kind == "OSMHeader":
+                head, box = pbf.decode_header(pbf.inflate(data[at : at + size]))
+                yield "header", head
+                if box:
+                    yield "bounds", box
+            elif kind == "OSMData" and self.what == "objects":
+                for row in pbf.decode_block(pbf.inflate(data[at : at + size]), self.options.get("compat") == "reference"):
+                    yield "object", row
+
+
+def _chunks(path: str, begin: int = 0, end: int | None = None) -> Iterator[bytes]:
     with open(path, "rb") as f:
-        while c := f.read(CHUNK):
+        f.seek(begin)
+        while c := f.read(CHUNK if end is None else min(CHUNK, end - f.tell())):
             yield c
 
 
@@ -141,14 +169,29 @@ class XmlReader(_Reader):
     def limits(self) -> dict:
         return {k: v for k, v in self.options.items() if k.startswith("max_")}
 
+    def permissive(self) -> bool:
+        return self.options.get("mode", "").upper() == "PERMISSIVE"
+
+    def pieces(self, path: str) -> list[tuple[int, ...]]:
+        """What counts from the start of a file, limits and the place of an error that is passed over, needs it whole."""
+        if self.permissive() or any(xml.parse_limits(self.limits()).values()):
+            return [(0, -1)]
+        with _mapped(path) as data:
+            return xml.pieces(data) or [(0, -1)]
+
     def events(self, piece: Piece) -> Iterator[tuple]:
-        yield "header", {"is_diff": False, "file_type": "osm"}
-        yield from xml.decode(_chunks(piece.path), self.change, self.limits(), self.options.get("mode", "").upper() == "PERMISSIVE")
+        if piece.begin == piece.root:
+            yield "header", {"is_diff": False, "file_type": "osm"}
+        if piece.end < 0:
+            yield from xml.decode(_chunks(piece.path), self.change, self.limits(), self.permissive())
+        else:
+            last = piece.end == os.path.getsize(piece.path)
+            yield from xml.decode_piece(_bytes(piece.path, 0, piece.root), _chunks(piece.path, piece.begin, piece.end), last, self.change)
 
 
-def change_rows(events: Iterator[tuple], first_only: bool = False) -> Iterator[tuple[str, dict]]:
-    """("block", row) and ("object", row) of the events of a change file."""
-    block, pos, own = -1, 0, {}
+def change_rows(events: Iterator[tuple], first_only: bool = False, before: int = 0) -> Iterator[tuple[str, dict]]:
+    """("block", row) and ("object", row) of the events of a change file, or of a piece of it with so many blocks before."""
+    block, pos, own = before - 1, 0, {}
     for kind, *value in events:
         if kind == "open":
             block, pos = block + 1, 0
@@ -162,10 +205,22 @@ def change_rows(events: Iterator[tuple], first_only: bool = False) -> Iterator[t
 class ChangeReader(XmlReader):
     change = True
 
-    def read(self, partition: Piece) -> Iterator[tuple]:
-        for kind, row in change_rows(self.events(partition), self.options.get("compat") == "reference"):
+    def rows(self, partition: Piece) -> Iterator[dict]:
+        for kind, row in change_rows(self.events(partition), self.options.get("compat") == "reference", partition.blocks):
             if f"{kind}s" == self.what:
-                yield tuple(_plain(f, row.get(f)) for f in self.fields)
+                yield row
+
+
+def _append(path: str, out) -> None:
+    """A file's bytes behind those of out, copied by the kernel where it can."""
+    out.flush()
+    with open(path, "rb", buffering=0) as f:
+        try:
+            while os.copy_file_range(f.fileno(), out.fileno(), 1 << 30):
+                pass
+        except (AttributeError, OSError):
+            pass
+        shutil.copyfileobj(f, out, CHUNK)
 
 
 @dataclass
@@ -174,9 +229,9 @@ class Part(WriterCommitMessage):
     path: str
 
 
-class _Writer(DataSourceWriter):
+class _Writer(DataSourceArrowWriter):
     def __init__(self, options: dict, schema: StructType, overwrite: bool):
-        self.options, self.fields, self.overwrite = options, [f.name for f in schema.fields], overwrite
+        self.options, self.overwrite = options, overwrite
         self.path = options["path"].removeprefix("file://")
         if os.path.exists(self.path) and not overwrite:
             raise ValueError(f"{self.path} exists")
@@ -185,12 +240,6 @@ class _Writer(DataSourceWriter):
     def flag(self, name: str, default: bool) -> bool:
         return self.options.get(name, str(default)).lower() == "true"
 
-    def rows(self, iterator) -> Iterator[dict]:
-        for r in iterator:
-            d = dict(zip(self.fields, r))
-            d["members"] = [{"type": m[0], "ref": m[1], "role": m[2]} for m in d["members"]] if d.get("members") is not None else None
-            yield S.blank(d["type"], d["id"]) | {k: v for k, v in d.items() if v is not None or k not in S.DEFAULTS}
-
     def body(self, rows: Iterator[dict]) -> Iterator[bytes]:
         raise NotImplementedError
 
@@ -206,7 +255,7 @@ class _Writer(DataSourceWriter):
         part = f"{self.path}.{uuid.uuid4().hex}.part"
         os.makedirs(os.path.dirname(part) or ".", exist_ok=True)
         with open(part, "wb") as f:
-            for b in self.body(self.rows(iterator)):
+            for b in self.body(batches.to_rows(iterator)):
                 f.write(b)
         return Part(TaskContext.get().partitionId(), part)
 
@@ -215,9 +264,7 @@ class _Writer(DataSourceWriter):
         with open(temp, "wb") as out:
             out.write(self.head())
             for m in sorted((m for m in messages if m), key=lambda m: m.number):
-                with open(m.path, "rb") as f:
-                    while c := f.read(CHUNK):
-                        out.write(c)
+                _append(m.path, out)
                 os.remove(m.path)
             out.write(self.tail())
         os.replace(temp, self.path)
@@ -287,8 +334,8 @@ class ChangeWriter(_Writer):
             if own:
                 yield key[1], key[2], own
 
-        document = list(xml.change_document(blocks(), self.flag("separate_actions", False), self.flag("write_if_unused", False)))
-        yield "".join(document[1:-1]).encode()
+        for text in xml.change_blocks(blocks(), self.flag("separate_actions", False), self.flag("write_if_unused", False)):
+            yield text.encode()
 
     def head(self) -> bytes:
         return next(xml.change_document([])).encode()
