@@ -116,18 +116,35 @@ def action(version: Column | str = "version", visible: Column | str = "visible")
     return F.when(version <= 1, "create").when(visible, "modify").otherwise("delete")
 
 
-def change_blocks(edits: DataFrame) -> DataFrame:
+def change_blocks(edits: DataFrame, number: str | None = None, buckets: int = 1 << 16) -> DataFrame:
     """Adds action, block_no (from 0) and if_unused. Consecutive edits by seq with one action share a block; if_unused is that of the
-    edit that opens a delete block, false elsewhere."""
+    edit that opens a delete block, false elsewhere. number: a column that already numbers the edits in the order of seq, without gaps.
+
+    Within buckets of edits one window tells which open a block, the first one's case left open; a row a bucket then says whether its
+    first edit opens one, how many blocks and which flag come before."""
     e = edits.withColumn("action", action())
     if "if_unused" not in e.columns:
         e = e.withColumn("if_unused", F.lit(False))
-    e = previous(ordered(e, "seq"), ["action"], "__row")
-    e = e.withColumn("__opens", F.when(F.col("__prev_action").isNull() | (F.col("__prev_action") != F.col("action")), 1).otherwise(0).cast("long"))
-    e = running(e, "__opens", "__row", "__block").withColumn("block_no", (F.col("__block") - 1).cast("int"))
-    e = latest(e.withColumn("__told", F.when(F.col("__opens") == 1, F.coalesce("if_unused", F.lit(False)))), "__told", "__row", "__flag")
-    e = e.withColumn("if_unused", F.when(F.col("action") == "delete", F.col("__flag")).otherwise(F.lit(False)))
-    return e.drop("__row", "__prev_action", "__opens", "__block", "__told", "__flag")
+    e = e.withColumn("if_unused", F.coalesce("if_unused", F.lit(False)))
+    e = materialize(e.withColumn("__row", F.col(number))) if number else ordered(e, "seq")
+    e = e.withColumn("__b", F.expr(f"cast(__row div {buckets} as long)"))
+    w = W.partitionBy("__b").orderBy("__row")
+    e = e.withColumn("__opens", F.coalesce(F.lag("action").over(w) != F.col("action"), F.lit(False)).cast("long"))
+    e = e.withColumn("__told", F.when(F.col("__opens") == 1, F.col("if_unused")))
+    told = F.max_by("__told", F.when(F.col("__opens") == 1, F.col("__row")))
+    b = e.groupBy("__b").agg(F.sum("__opens").alias("__n"), F.min_by(F.struct("action", "if_unused"), "__row").alias("__head"), F.max_by("action", "__row").alias("__tail"), told.alias("__last"))
+    over = W.orderBy("__b")  # a row a bucket
+    b = b.withColumn("__first", F.coalesce(F.lag("__tail").over(over) != F.col("__head.action"), F.lit(True)))
+    b = b.withColumn("__end", F.coalesce("__last", F.when(F.col("__first"), F.col("__head.if_unused"))))
+    before = over.rowsBetween(W.unboundedPreceding, -1)
+    flag = F.when(F.col("__first"), F.col("__head.if_unused")).otherwise(F.last("__end", True).over(before))
+    base = F.coalesce(F.sum(F.col("__n") + F.col("__first").cast("long")).over(before), F.lit(0)) + F.col("__first").cast("long") - 1
+    b = b.select("__b", base.alias("__base"), flag.alias("__flag"))
+    inner = w.rowsBetween(W.unboundedPreceding, 0)
+    e = e.withColumns({"__inner": F.sum("__opens").over(inner), "__told": F.last("__told", True).over(inner)}).join(b, "__b")
+    e = e.withColumn("block_no", (F.col("__base") + F.col("__inner")).cast("int"))
+    e = e.withColumn("if_unused", F.when(F.col("action") == "delete", F.coalesce("__told", "__flag")).otherwise(F.lit(False)))
+    return e.drop("__row", "__b", "__opens", "__told", "__inner", "__base", "__flag")
 
 
 def append_block(changes: DataFrame, objects: DataFrame, act: str, if_unused: bool = False) -> DataFrame:

@@ -312,16 +312,16 @@ def date_granularity(s, d):
 
 
 def _through(s: SparkSession, objects: DataFrame, fmt: str, **options) -> DataFrame:
-    """objects written as one file and read again."""
+    """objects written as one file, by type and id, and read again."""
     path = f"{shared_folder(s)}/{uuid.uuid4().hex}.{fmt}"
-    write_osm(objects, path, [(1.0, 2.0, 3.0, 4.0)], fmt, **options)
+    write_osm(objects, path, [(1.0, 2.0, 3.0, 4.0)], fmt, by_id=True, **options)
     return read_osm(s, path, fmt=fmt)
 
 
 def _full(s: SparkSession, d: str) -> DataFrame:
-    kinds = [f(s, d) for f in (V.nodes, V.ways, V.relations)]
-    out = kinds[0].withColumn("rank", F.lit(0)).unionByName(kinds[1].withColumn("rank", F.lit(1)), True).unionByName(kinds[2].withColumn("rank", F.lit(2)), True)
-    o = C.ordered(out, "rank", "seq").withColumn("seq", F.col("__row"))
+    """Objects of all types; seq is the place in a type's own table."""
+    nodes, ways, relations = (f(s, d) for f in (V.nodes, V.ways, V.relations))
+    o = nodes.unionByName(ways, True).unionByName(relations, True)
     for c, v in DEFAULTS.items():
         o = o.withColumn(c, F.coalesce(F.col(c), F.lit(v)) if c in o.columns else F.lit(v))
     return o.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in OBJECT.fields])
@@ -355,7 +355,7 @@ def roundtrip_pbf(s, d):
 
 @query(f"with {BLOCKS} select cast(block_no as bigint) as block_no, action, id, version from b")
 def roundtrip_change(s, d):
-    e = C.change_blocks(V.edits(s, d)).withColumn("pos", F.col("seq")).withColumn("is_diff", F.lit(True))
+    e = C.change_blocks(V.edits(s, d), "seq").withColumn("pos", F.col("seq")).withColumn("is_diff", F.lit(True))
     have = {"lat": F.lit(0.0), "lon": F.lit(0.0)}
     rows = e.select(*[(F.col(f.name) if f.name in e.columns else have.get(f.name, F.lit(DEFAULTS.get(f.name)))).cast(f.dataType).alias(f.name) for f in CHANGE.fields])
     path = f"{shared_folder(s)}/{uuid.uuid4().hex}.osc"

@@ -4,14 +4,18 @@ import random
 
 import pyarrow as pa
 import pytest
+from conftest import DATA
 from pyspark.sql.pandas.types import to_arrow_schema
 from test_codecs import EVERY
 
 from terraframe import io as tio
+from terraframe.operators import core as C
+from terraframe.plans import queries as Q
 from terraframe.schema import CHANGE, OBJECT, blank
 from terraframe.sources import batches, xml
 from terraframe.sources.formats import ChangeReader, XmlReader
 
+SF = f"{DATA}/sf0.001"
 ODD = [
     '<way id="7"><tag k="a>b" v="x />"/>text > and /> more<nd ref="1"></nd></way>', "<node id='8' lat='1' lon='2'/>", "<x><node id='9'/><y/></x>", "<note>a > b</note>",
     '<bounds minlat="1" minlon="2" maxlat="3" maxlon="4"/>', '<relation id="3"><member type="way" ref="7" role="&lt;é>"/></relation\n>', "<meta/>",
@@ -91,3 +95,29 @@ def test_batches_hold_rows():
     nulls = pa.RecordBatch.from_pylist([{"type": "node", "id": 1, "uid": None, "user": "a", "tags": None}, {"type": "way", "id": 2, "uid": 5, "user": None, "tags": [("a", "b")]}], pa.schema([schema.field(n) for n in ("type", "id", "uid", "user", "tags")]))
     assert list(batches.to_rows([nulls])) == [blank("node", 1, user="a", tags=None), blank("way", 2, uid=5, tags={"a": "b"})]
     assert batches._array([[1], None, []], pa.list_(pa.int64())).to_pylist() == [[1], None, []]
+
+
+@pytest.mark.parametrize("number", [None, "seq"])
+def test_change_blocks_across_buckets(spark, number):
+    """Blocks and flags are those of one pass, wherever buckets begin."""
+    rnd = random.Random(5)
+    for n in (1, 40, 90):
+        rows = []
+        for i in range(n):
+            v, visible = rnd.choice([(1, True), (2, True), (2, False)]) if not rows or rnd.random() < 0.3 else rows[-1][1:3]
+            rows.append((i + 3 if number else 3 * i, v, visible, rnd.choice([True, False, None])))
+        want, block, last, flag = [], -1, None, False
+        for seq, v, visible, unused in rows:
+            act = "create" if v <= 1 else "modify" if visible else "delete"
+            if act != last:
+                block, last, flag = block + 1, act, bool(unused)
+            want.append((seq, act, block, flag if act == "delete" else False))
+        d = spark.createDataFrame(rows, "seq long, version long, visible boolean, if_unused boolean").repartition(3)
+        got = C.change_blocks(d, number, 4).orderBy("seq")
+        assert got.schema["block_no"].dataType.simpleString() == "int"
+        assert [tuple(r) for r in got.select("seq", "action", "block_no", "if_unused").collect()] == want
+
+
+def test_round_trips_sort_once(spark):
+    """The writer's own sort is the only range partitioning of the objects."""
+    assert not [f for f in Q._full(spark, SF).inputFiles() if "table-" in f]
