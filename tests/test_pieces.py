@@ -12,8 +12,8 @@ from terraframe import io as tio
 from terraframe.operators import core as C
 from terraframe.plans import queries as Q
 from terraframe.schema import CHANGE, OBJECT, blank
-from terraframe.sources import batches, xml
-from terraframe.sources.formats import ChangeReader, XmlReader
+from terraframe.sources import batches, o5m, pbf, xml
+from terraframe.sources.formats import ChangeReader, O5mReader, PbfReader, XmlReader
 
 SF = f"{DATA}/sf0.001"
 ODD = [
@@ -121,3 +121,19 @@ def test_change_blocks_across_buckets(spark, number):
 def test_round_trips_sort_once(spark):
     """The writer's own sort is the only range partitioning of the objects."""
     assert not [f for f in Q._full(spark, SF).inputFiles() if "table-" in f]
+
+
+def test_o5m_and_pbf_pieces_are_groups(tmp_path):
+    """Many resets and small blobs don't make a task each."""
+    rows = [blank("way", i, refs=[i, 2 * i], tags={"k": str(i % 9)}) for i in range(6000)]
+    o = o5m.header() + b"".join(x for i in range(0, 6000, 10) for x in o5m.body(rows[i : i + 10])) + o5m.FOOTER
+    p = pbf.frame("OSMHeader", pbf.encode_header()) + b"".join(x for i in range(0, 6000, 10) for x in pbf.encode_blobs(rows[i : i + 10]))
+    for data, reader in ((o, O5mReader), (p, PbfReader)):
+        path = str(tmp_path / reader.__name__)
+        with open(path, "wb") as f:
+            f.write(data)
+        r = reader({"path": path}, OBJECT)
+        pieces = r.partitions()
+        assert len(pieces) == 1
+        assert [x["id"] for piece in pieces for x in r.rows(piece)] == [*range(6000)]
+    assert len(o5m.segments(o)) == 601
